@@ -124,6 +124,10 @@ VIEWS["fx_part_wide"] = """
           JOIN fx_path_typo t ON p.p_partkey = t.p_partkey
           JOIN fx_numlist l ON p.p_partkey = l.p_partkey
           JOIN fx_ordinal r ON p.p_partkey = r.p_partkey"""
+VIEWS["fx_date_typo"] = """
+        SELECT o_orderkey, d_iso || CASE WHEN o_orderkey % 501 = 0 THEN 'x' ELSE '' END AS d_iso FROM fx_dates"""
+VIEWS["fx_day_typo"] = """
+        SELECT event_id, day || CASE WHEN event_id % 199 = 0 THEN 'y' ELSE '' END AS day FROM fx_day"""
 
 
 def needed(sql: str) -> list[str]:

@@ -2,8 +2,8 @@
 
 A column's score for a type is the log-probability of its texts under that type. The
 probability of a text depends only on which recognisers accept it and on its length, so
-rows are first counted per (column, accepted types, length): a small table whatever the
-number of distinct texts, combined before the shuffle.
+texts are counted per (column, accepted types, length): a small table whatever the number
+of distinct texts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from stringwright.functions.recognise import TYPES, WORD_LISTS, looks_like
 from stringwright.operators.values import long_form, string_columns
 
 IMPOSSIBLE = -1e9
+SHORT_TEXT = 64
 
 
 class TypeRegistry:
@@ -58,20 +59,33 @@ def log_add(a: Column, b: Column) -> Column:
 
 
 def text_shapes(rows: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> DataFrame:
-    """Count rows ``<col, value>`` per column, capped length, accepted types and NA flag."""
+    """Count rows ``<col, value>`` per column, capped length, accepted types and NA flag.
+
+    Short texts are counted first, so that recognisers see each distinct one once; long
+    texts are reduced to their shape where they lie and never travel.
+    """
     value = F.col("value")
-    accepted = F.array(*[registry.tests[t](value) for t in registry.types])
-    return (
-        rows.where(value.isNotNull())
-        .select(
-            "col",
-            F.least(F.length(value), F.lit(K.LENGTH_CAP)).alias("len"),
-            is_missing_token(value).alias("missing"),
-            accepted.alias("accepted"),
+    short = F.length(value) <= SHORT_TEXT
+
+    def shape(v: Column) -> Column:
+        return F.struct(
+            F.least(F.length(v), F.lit(K.LENGTH_CAP)).alias("len"),
+            is_missing_token(v).alias("missing"),
+            F.array(*[registry.tests[t](v) for t in registry.types]).alias("accepted"),
         )
-        .groupBy("col", "len", "missing", "accepted")
+
+    counted = (
+        rows.where(value.isNotNull())
+        .select("col", F.when(short, value).alias("text"), F.when(~short, shape(value)).alias("shape"))
+        .groupBy("col", "text", "shape")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return (
+        counted.select("col", F.when(F.col("text").isNotNull(), shape(F.col("text"))).otherwise(F.col("shape")).alias("s"), "n")
+        .groupBy("col", "s")
+        .agg(F.sum("n").alias("n"))
+        .select("col", "s.len", "s.missing", "s.accepted", "n")
+    )
 
 
 def type_scores(shapes: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> DataFrame:
