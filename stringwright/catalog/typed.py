@@ -15,6 +15,7 @@ from stringwright.catalog.registry import check, in_list, quoted
 from stringwright.functions import recognise
 from stringwright.operators import types as T
 from stringwright.operators import values as V
+from stringwright.session import settle
 from stringwright.sources import tables as S
 
 # Columns with the type each is known to hold.
@@ -137,7 +138,7 @@ def labelled_sql(wanted=None) -> str:
 def labelled(spark: SparkSession, sf_dir: str, wanted=None) -> DataFrame:
     rows = long_rows(spark, sf_dir, wanted)
     counts = rows.where(F.col("value").isNotNull()).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-    return T.label_values(counts, T.infer_types(rows))
+    return settle(T.label_values(counts, T.infer_types(rows)))
 
 
 @check("load_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")

@@ -27,6 +27,19 @@ def char_ngrams_between(value: Column, low: int, high: int) -> Column:
     return F.array_distinct(F.concat(*[char_ngrams(value, n) for n in range(low, high + 1)]))
 
 
+def gram_codes(grams: Column, n: int) -> Column:
+    """N-grams of up to three characters as distinct bigints (21 bits per character), which
+    set functions handle in generated code; longer ones stay texts."""
+    if n > 3:
+        return grams
+
+    def code(g: Column) -> Column:
+        parts = [F.ascii(F.substring(g, i + 1, 1)).cast("bigint") * (1 << (21 * (n - 1 - i))) for i in range(n)]
+        return sum(parts[1:], parts[0])
+
+    return F.transform(grams, code)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two sets; 0 when both are empty."""
     both = F.size(F.array_intersect(a, b))

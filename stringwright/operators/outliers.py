@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stringwright import constants as K
 from stringwright.functions import text as X
 from stringwright.operators.values import column_totals, join_map, running_total, small_enough
+from stringwright.session import settle
 
 HEAVY_GRAM = 2_000
 
@@ -72,10 +73,9 @@ def _prefix_keys(values: DataFrame, threshold: float, n: int, drop_last: int, he
     ``size - ceil(t * size) + 1`` of each, and two among one more. Grams held by many
     values are used only in pairs of two, which keeps every block small.
     """
-    grams = values.withColumn("_grams", X.char_ngrams(F.col("value"), n, drop_last)).withColumn(
-        "_size", F.size("_grams")
-    )
-    single = grams.where(F.col("_size") > 0).select("*", F.explode("_grams").alias("_gram")).drop("_grams")
+    coded = X.gram_codes(X.char_ngrams(F.col("value"), n, drop_last), n)
+    grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams"))
+    single = grams.where(F.col("_size") > 0).select(*values.columns, "_size", F.explode("_grams").alias("_gram"))
     frequency = single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq"))
     if small_enough(frequency):
         frequency = F.broadcast(frequency)
@@ -85,22 +85,29 @@ def _prefix_keys(values: DataFrame, threshold: float, n: int, drop_last: int, he
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_freq", "_gram"))).alias("_sorted"))
     )
+    gram_type = "bigint" if n <= 3 else "string"
     length = F.col("_size") - F.ceil(F.col("_size") * F.lit(threshold)).cast("int") + 1
     first = F.slice("_sorted", F.lit(1), length)
     longer = F.slice("_sorted", F.lit(1), length + 1)
     light = F.transform(
-        F.filter(first, lambda g: (g["_freq"] <= heavy) | (F.col("_size") == 1)), lambda g: g["_gram"]
+        F.filter(first, lambda g: (g["_freq"] <= heavy) | (F.col("_size") == 1)),
+        lambda g: F.struct(g["_gram"].alias("a"), F.lit(None).cast(gram_type).alias("b")),
     )
     hot = F.transform(F.filter(longer, lambda g: g["_freq"] > heavy), lambda g: g["_gram"])
     pairs = F.flatten(
         F.transform(
             hot,
             lambda a, i: F.transform(
-                F.slice(hot, i + 2, F.size(hot)), lambda b: F.concat(a, F.lit("\u0000"), b)
+                F.slice(hot, i + 2, F.size(hot)),
+                lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
             ),
         )
     )
-    return ordered.select(*keys, F.explode(F.concat(light, pairs)).alias("_key"))
+    everything = F.transform("_sorted", lambda g: g["_gram"])
+    key = F.explode(F.concat(light, pairs))
+    return ordered.select(*keys, everything.alias("_grams"), key.alias("_key")).select(
+        *keys, "_grams", F.col("_key.a").alias("_a"), F.coalesce("_key.b", F.lit(0 if n <= 3 else "")).alias("_b")
+    )
 
 
 def partner_pairs(
@@ -128,25 +135,31 @@ def partner_pairs(
         (F.lit(True) if suspect is None else suspect).alias("_suspect"),
         (F.lit(True) if target is None else target).alias("_target"),
     ).where(F.col("_suspect") | F.col("_target"))
-    keyed = _prefix_keys(sides, threshold, n, drop_last, heavy)
+    # Few rows in, many pairs out: a fixed number of partitions keeps the join parallel
+    # where adaptive execution would judge by the small input and merge them.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = settle(_prefix_keys(settle(sides), threshold, n, drop_last, heavy))
+    keyed = keyed.repartition(parts, "col", "_a", "_b")
     old = keyed.where("_suspect").select(
-        "col", "_key", F.col("value").alias("old"), F.col("n").alias("n_old"), F.col("_size").alias("_s_old")
+        "col", "_a", "_b", F.col("value").alias("old"), F.col("n").alias("n_old"), F.col("_grams").alias("_g_old")
     )
     new = keyed.where("_target").select(
-        "col", "_key", F.col("value").alias("new"), F.col("n").alias("n_new"), F.col("_size").alias("_s_new")
+        "col", "_a", "_b", F.col("value").alias("new"), F.col("n").alias("n_new"), F.col("_grams").alias("_g_new")
     )
     commoner = (F.col("n_new") > F.col("n_old")) | (
         (F.col("n_new") == F.col("n_old")) & (F.col("new") < F.col("old"))
     )
-    sizes = (F.col("_s_new") >= F.col("_s_old") * threshold) & (F.col("_s_old") >= F.col("_s_new") * threshold)
-    pairs = old.join(new, ["col", "_key"]).where(commoner & sizes)
+    s_old, s_new = F.size("_g_old"), F.size("_g_new")
+    sizes = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
+    pairs = old.join(new, ["col", "_a", "_b"]).where(commoner & sizes)
     if accept is not None:
         pairs = pairs.where(accept)
-    similarity = X.jaccard(
-        X.char_ngrams(F.col("old"), n, drop_last), X.char_ngrams(F.col("new"), n, drop_last)
-    )
+    shared = F.size(F.array_intersect("_g_old", "_g_new"))
+    enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
     return (
-        pairs.withColumn("similarity", similarity)
+        pairs.where(enough)
+        .withColumn("_shared", shared)
+        .withColumn("similarity", F.col("_shared") / (s_old + s_new - F.col("_shared")))
         .where(F.col("similarity") >= threshold)
         .select("col", "old", "new", "n_old", "n_new", "similarity")
     )
