@@ -124,15 +124,14 @@ def month_number(value: Column) -> Column:
     def tail(p: Column) -> Column:
         return F.when(F.length(p) == 4, F.substring(p, 3, 2)).otherwise(p)
 
+    # Each number is a year (four digits, more than the month has days, or after a day) or
+    # the day; the last year found counts.
     two_part_year = F.when(quoted != "", quoted).otherwise(tail(first))
-    year = (
-        F.when(quoted != "", quoted)
-        .when(is_year(first), tail(first))
-        .when(second.isNotNull(), tail(second))
-        .otherwise(F.lit(""))
-    )
-    day = F.when(~is_year(first), first).when(second.isNotNull() & is_year(first), second)
-    day = F.when(first.isNull(), F.lit("")).otherwise(F.lpad(F.coalesce(day, F.lit("")), 2, "0"))
+    year_first = is_year(first)
+    year_second = second.isNotNull() & (is_year(second) | ~year_first)
+    year = F.when(year_second, tail(second)).when(year_first, tail(first)).otherwise(quoted)
+    day = F.when(~year_first, F.lpad(first, 2, "0")).when(~year_second, F.lpad(second, 2, "0"))
+    day = F.coalesce(day, F.lit(""))
     mm = F.lpad(month.cast("string"), 2, "0")
     return (
         F.when(month.isNull(), F.lit(None))
