@@ -68,8 +68,8 @@ def common_affix(spark, sf_dir):
 )
 def proc_email(spark, sf_dir):
     mails = table(spark, sf_dir, "fx_email")
-    ends = P.fit_ends(mails, "email", prefix=False)
-    return mails.withColumn("email", P.email_rule(F.col("email"), ends))
+    rules = P.fit_features(mails, {"email": "email"}, True, {})
+    return P.apply_feature(mails, rules["email"], True, {})
 
 
 def words_sql(view: str, key: str, col: str, scheme: bool) -> str:
@@ -151,8 +151,8 @@ def num_rank(spark, sf_dir):
 @check("num_list", "SELECT p_partkey, p_size::BIGINT AS dims0, (p_partkey % 10)::BIGINT AS dims1 FROM part")
 def num_list(spark, sf_dir):
     rows = table(spark, sf_dir, "fx_numlist")
-    rule = P.fit_feature(rows, "dims", "numerical", False, {})
-    return P.apply_feature(rows, rule, False, {})
+    rules = P.fit_features(rows, {"dims": "numerical"}, False, {})
+    return P.apply_feature(rows, rules["dims"], False, {})
 
 
 @check(

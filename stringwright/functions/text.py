@@ -69,15 +69,6 @@ def to_epoch(value: Column) -> Column:
     )
 
 
-def common_prefix_length(low: Column, high: Column) -> Column:
-    """Length of the prefix shared by the smallest and the largest text of a set,
-    which is the prefix shared by all of them."""
-    steps = F.sequence(F.lit(1), F.least(F.length(low), F.length(high)))
-    shared = F.filter(steps, lambda i: F.substring(low, F.lit(1), i) == F.substring(high, F.lit(1), i))
-    shortest = F.least(F.length(low), F.length(high))
-    return F.when(shortest > 0, F.coalesce(F.array_max(shared), F.lit(0))).otherwise(F.lit(0))
-
-
 def strip_ends(value: Column, prefix: int, suffix: int) -> Column:
     """Drop a number of characters on both ends."""
     return F.substring(value, F.lit(prefix + 1), F.length(value) - F.lit(prefix + suffix))

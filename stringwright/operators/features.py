@@ -22,40 +22,39 @@ class Ends(NamedTuple):
     suffix: int
 
 
-def common_ends(df: DataFrame, col: str) -> DataFrame:
-    """``<prefix, suffix>`` lengths of the common ends, in one aggregation; the suffix is
-    measured on what the prefix leaves over."""
-    value = F.col(col)
-    limits = df.agg(
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.min(F.reverse(value)).alias("rlow"),
-        F.max(F.reverse(value)).alias("rhigh"),
-        F.min(F.length(value)).alias("shortest"),
-    )
-    prefix = X.common_prefix_length(F.col("low"), F.col("high"))
-    suffix = X.common_prefix_length(F.col("rlow"), F.col("rhigh"))
-    return limits.select(prefix.alias("prefix"), suffix.alias("_whole"), "shortest").select(
-        F.coalesce("prefix", F.lit(0)).alias("prefix"),
-        F.coalesce(F.least(F.col("_whole"), F.col("shortest") - F.col("prefix")), F.lit(0)).alias("suffix"),
+def shared_start(a: str, b: str) -> int:
+    """Number of leading characters two texts share."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def ends_of(low: str | None, high: str | None, rlow: str | None, rhigh: str | None, shortest: int | None) -> Ends:
+    """Common ends of a set of texts from its smallest and largest member, read forwards and
+    backwards: what these share, all share. The suffix is measured on what the prefix leaves."""
+    if low is None:
+        return Ends(0, 0)
+    prefix = shared_start(low, high)
+    return Ends(prefix, min(shared_start(rlow, rhigh), shortest - prefix))
+
+
+def end_stats(value: Column) -> Column:
+    return F.struct(
+        F.min(value), F.max(value), F.min(F.reverse(value)), F.max(F.reverse(value)), F.min(F.length(value))
     )
 
 
-def fit_ends(df: DataFrame, col: str, prefix: bool = True) -> Ends:
-    """Common ends as two numbers; without ``prefix`` only the suffix is looked for."""
-    if prefix:
-        row = common_ends(df, col).first()
-        return Ends(row["prefix"], row["suffix"])
-    rows = df.select(F.reverse(F.col(col)).alias("v"))
-    return Ends(0, common_ends(rows, "v").first()["prefix"])
+def fit_ends(df: DataFrame, col: str) -> Ends:
+    """Common ends of a column, in one aggregation."""
+    return ends_of(*df.agg(end_stats(F.col(col)).alias("e")).first()["e"])
+
+
+def suffix_only(low: str | None, high: str | None, rlow: str | None, rhigh: str | None, shortest: int | None) -> Ends:
+    return Ends(0, 0) if low is None else Ends(0, shared_start(rlow, rhigh))
 
 
 def strip_common(df: DataFrame, col: str, suffix: bool = False) -> DataFrame:
     """Remove the longest common prefix (or suffix) of a column from every text."""
-    if suffix:
-        ends = fit_ends(df, col, prefix=False)
-    else:
-        ends = Ends(fit_ends(df, col).prefix, 0)
+    found = df.agg(end_stats(F.col(col)).alias("e")).first()["e"]
+    ends = suffix_only(*found) if suffix else Ends(ends_of(*found).prefix, 0)
     return df.withColumn(col, X.strip_ends(F.col(col), ends.prefix, ends.suffix))
 
 
@@ -71,12 +70,6 @@ def filepath_rule(value: Column, ends: Ends) -> Column:
     return X.path_words(X.strip_ends(value, ends.prefix, ends.suffix))
 
 
-def is_ranked(df: DataFrame, col: str) -> bool:
-    """Whether any text is a range or a comparison, so that the column is rank-encoded."""
-    number = F.coalesce(X.range_mean(F.col(col)), X.compared_number(F.col(col)))
-    return bool(df.agg(F.max(number.isNotNull())).first()[0])
-
-
 def number_ranks(df: DataFrame, col: str) -> DataFrame:
     """``<col, number, code>``: position of every distinct text in the order of its number;
     texts without a number have no position."""
@@ -85,10 +78,6 @@ def number_ranks(df: DataFrame, col: str) -> DataFrame:
     return rank_values(distinct.where(F.col("number").isNotNull()), [], [F.col("number"), F.col(col)], "code")
 
 
-def list_length(df: DataFrame, col: str) -> int:
-    return df.agg(F.max(F.size(F.split(F.col(col), X.LIST_SEPARATOR)))).first()[0] or 0
-
-
 def noun_rule(value: Column, nouns: list[str]) -> Column:
     """Words of the text that are in the noun list, in order; the text itself if none is."""
     words = F.regexp_extract_all(value, F.lit(r"(\p{L}+)"), 1)
@@ -255,30 +244,45 @@ class FeatureRule:
         self.directives: dict[str, str] = {}
 
 
-def fit_feature(df: DataFrame, col: str, kind: str, dense: bool, options: dict) -> FeatureRule:
-    """Learn what a column of this kind needs: common ends, label maps, shapes."""
+def feature_stats(value: Column, kind: str) -> Column | None:
+    """What a rule must know of the whole column, as one aggregate."""
+    if kind in ("email", "filepath", "url"):
+        return end_stats(value)
+    if kind == "numerical":
+        number = F.coalesce(X.range_mean(value), X.compared_number(value))
+        return F.struct(F.max(number.isNotNull()), F.max(F.size(F.split(value, X.LIST_SEPARATOR))))
+    if kind == "coordinate":
+        return F.struct(F.max(F.size(X.coordinate_degrees(value))))
+    return None
+
+
+def fit_features(df: DataFrame, kinds: dict[str, str], dense: bool, options: dict) -> dict[str, FeatureRule]:
+    """Learn what the columns of these kinds need (common ends, shapes, label maps). All plain
+    statistics come from a single pass over the table."""
+    wanted = {c: feature_stats(F.col(c), k) for c, k in kinds.items()}
+    stats = [e.alias(c) for c, e in wanted.items() if e is not None]
+    found = df.agg(*stats).first().asDict() if stats else {}
+    return {c: _feature_rule(df, c, k, found.get(c), dense, options) for c, k in kinds.items()}
+
+
+def _feature_rule(df: DataFrame, col: str, kind: str, found, dense: bool, options: dict) -> FeatureRule:
     rule = FeatureRule(col, kind)
     rule.directives = {col: "none"}
     if kind in K.BOOLEAN_TYPES:
         rule.maps = settle(sorted_codes(df, col))
-    elif kind == "email":
-        rule.ends = fit_ends(df, col, prefix=False)
-        rule.directives = {col: "nominal"}
-    elif kind in ("filepath", "url"):
-        rule.ends = fit_ends(df, col)
+    elif kind in ("email", "filepath", "url"):
+        rule.ends = suffix_only(*found) if kind == "email" else ends_of(*found)
         rule.directives = {col: "nominal"}
     elif kind in ("day", "sentence"):
         rule.directives = {col: "nominal"}
     elif kind == "numerical":
-        rule.ranked = is_ranked(df, col)
+        rule.ranked, rule.length = bool(found[0]), found[1] or 0
         if rule.ranked:
             rule.maps = settle(number_ranks(df, col))
-        else:
-            rule.length = list_length(df, col)
-            if not dense:
-                rule.directives = {f"{col}{i}": "none" for i in range(rule.length)}
+        elif not dense:
+            rule.directives = {f"{col}{i}": "none" for i in range(rule.length)}
     elif kind == "coordinate":
-        rule.pair = (df.agg(F.max(F.size(X.coordinate_degrees(F.col(col))))).first()[0] or 0) > 1
+        rule.pair = (found[0] or 0) > 1
         if rule.pair and dense:
             rule.directives = {
                 col: "none", f"{col}_country": "nominal", f"{col}_zipcode": "nominal", f"{col}_xyz": "none"
@@ -294,6 +298,8 @@ def fit_feature(df: DataFrame, col: str, kind: str, dense: bool, options: dict)
             extra = ("latlong", "xyz") if dense else ("lat", "long", "x", "y", "z")
             rule.directives |= {f"{col}_city": "nominal", f"{col}_country": "nominal"}
             rule.directives |= {f"{col}_{s}": "none" for s in extra}
+    elif kind not in (*K.DATE_TYPES, "month", "ordinal") and kind not in options["registry"].processors:
+        rule.directives = {col: "nominal"}
     return rule
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
-from stringwright.operators.values import join_map, rank_values, settle, value_table
+from stringwright.operators.values import join_map, rank_values, small_enough, value_table
+from stringwright.session import settle
 
 MAX_ROUNDS = 10
 TOLERANCE = 1e-3
@@ -73,12 +74,14 @@ def rank_maps(df: DataFrame, cols: list[str]) -> DataFrame:
 def rank_encode(df: DataFrame, cols: list[str], maps: DataFrame) -> DataFrame:
     """Replace texts by their rank as doubles; nulls stay null."""
 
+    small = bool(cols) and small_enough(maps)
+
     def one(frame: DataFrame, col: str) -> DataFrame:
         mapping = maps.where(F.col("col") == col).select(
             F.col("value").alias(col), F.col("code").cast("double").alias("_code")
         )
         text = frame.withColumn(col, F.col(col).cast("string"))
-        return join_map(text, col, mapping).select(
+        return join_map(text, col, mapping, small=small or None).select(
             *[F.col("_code").alias(c) if c == col else F.col(c) for c in frame.columns]
         )
 
@@ -88,12 +91,15 @@ def rank_encode(df: DataFrame, cols: list[str], maps: DataFrame) -> DataFrame:
 def decode_nearest(df: DataFrame, cols: list[str], maps: DataFrame) -> DataFrame:
     """Ranks back to texts; a number between ranks goes to the nearest, halves down."""
 
+    small = bool(cols) and small_enough(maps)
+    tops = {r["col"]: r["top"] for r in maps.groupBy("col").agg(F.max("code").alias("top")).collect()} if cols else {}
+
     def one(frame: DataFrame, col: str) -> DataFrame:
         mapping = maps.where(F.col("col") == col).select(F.col("code").alias("_code"), F.col("value").alias("_value"))
-        top = mapping.agg(F.max("_code")).first()[0]
+        top = tops.get(col)
         near = F.ceil(F.col(col) - 0.5)
         coded = frame.withColumn("_code", F.greatest(F.lit(0), F.least(near, F.lit(top))).cast("bigint"))
-        return join_map(coded, "_code", mapping).select(
+        return join_map(coded, "_code", mapping, small=small or None).select(
             *[F.col("_value").alias(c) if c == col else F.col(c) for c in frame.columns]
         )
 
@@ -162,45 +168,92 @@ def chi_square_tail(x: float, dof: float) -> float:
     return min(1.0, h * scale)
 
 
-def mcar_test(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Little's test that values are missing completely at random: ``<d2, dof, p>``.
-
-    Each pattern's share of the statistic is solved where the pattern row lies; the means
-    and covariances it needs are one number per pair of columns. Singular covariances give
-    null results.
-    """
-    moments = {(r["a"], r["b"]): r for r in pairwise_moments(df, cols).collect()}
-    mean = np.array([moments[(c, c)]["mean_a"] for c in cols], dtype=float)
-    cov = np.array(
-        [[moments[(min(a, b, key=cols.index), max(a, b, key=cols.index))]["cov"] for b in cols] for a in cols],
-        dtype=float,
-    )
-    names = [f"mean_{c}" for c in cols]
-
-    def shares(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                seen = [i for i, flag in enumerate(row.pattern) if flag == "0"]
-                gap = np.array([row[2 + i] for i in seen], dtype=float) - mean[seen]
-                try:
-                    share = row.n * float(gap @ np.linalg.solve(cov[np.ix_(seen, seen)], gap)) if seen else 0.0
-                except np.linalg.LinAlgError:
-                    share = float("nan")
-                out.append((share, len(seen)))
-            yield pd.DataFrame(out, columns=["d2", "seen"])
-
-    patterns = missing_patterns(df, cols).select("pattern", "n", *names)
-    total = patterns.mapInPandas(shares, "d2 double, seen bigint").agg(
-        F.sum("d2").alias("d2"), (F.sum("seen") - len(cols)).alias("dof")
+def pattern_moments(df: DataFrame, cols: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """Per missing pattern: rows, sums and cross products of the columns less their means,
+    nulls counted as 0; and those means. Everything else here follows from this table."""
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = np.array([means[c] if means[c] is not None else 0.0 for c in cols], dtype=float)
+    zero = [F.coalesce(F.col(c).cast("double") - float(m), F.lit(0.0)) for c, m in zip(cols, shift)]
+    cross = [F.sum(x * y) for i, x in enumerate(zero) for y in zero[i:]]
+    table = df.groupBy(pattern_of(cols).alias("pattern")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.sum(x) for x in zero]).alias("s"),
+        F.array(*cross).alias("q"),
     )
-    tail = F.pandas_udf(
-        lambda d2, dof: pd.Series(
-            [chi_square_tail(x, k) if x == x and x is not None else None for x, k in zip(d2, dof)], dtype="float64"
-        ),
-        "double",
+    return settle(table), shift
+
+
+class PatternTable:
+    """Sums over the pattern table: on the driver while it is small, else in Spark tasks."""
+
+    def __init__(self, table: DataFrame, width: int) -> None:
+        self.table = table
+        cells = (width + 1) * (width + 2) // 2
+        patterns = table.count()
+        self.rows = table.collect() if patterns * cells <= DRIVER_CELLS else None
+
+    def total(self, share, size: int) -> np.ndarray:
+        """Sum over patterns of ``share(pattern, n, s, q)``, a vector of ``size`` numbers."""
+        if self.rows is not None:
+            return sum((share(r["pattern"], r["n"], r["s"], r["q"]) for r in self.rows), np.zeros(size))
+
+        def add(batches):
+            for batch in batches:
+                rows = batch.itertuples(index=False)
+                yield pd.DataFrame({"m": [sum((share(r.pattern, r.n, r.s, r.q) for r in rows), np.zeros(size))]})
+
+        parts = self.table.mapInPandas(add, "m array<double>").select(F.posexplode("m").alias("i", "x"))
+        sums = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(size)
+        for r in sums:
+            out[r["i"]] = r["x"]
+        return out
+
+
+def _little(table: PatternTable, k: int) -> tuple[float, int, float | None]:
+    """Statistic, degrees of freedom and p-value of Little's test from pattern moments."""
+    upper = list(zip(*np.triu_indices(k)))
+
+    def pair_sums(pattern, n, s, q):
+        out = np.zeros((len(upper), 4))
+        for at, (i, j) in enumerate(upper):
+            if pattern[i] == "0" and pattern[j] == "0":
+                out[at] = (n, s[i], s[j], q[at])
+        return out.ravel()
+
+    sums = table.total(pair_sums, 4 * len(upper)).reshape(-1, 4)
+    mean = np.zeros(k)
+    cov = np.zeros((k, k))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for (i, j), (n, si, sj, q) in zip(upper, sums):
+            if i == j:
+                mean[i] = si / n
+            cov[i, j] = cov[j, i] = (q - si * sj / n) / (n - 1)
+
+    def share(pattern, n, s, q):
+        seen = [i for i in range(k) if pattern[i] == "0"]
+        if not seen:
+            return np.zeros(2)
+        gap = np.asarray(s, dtype=float)[seen] / n - mean[seen]
+        try:
+            d2 = n * float(gap @ np.linalg.solve(cov[np.ix_(seen, seen)], gap))
+        except np.linalg.LinAlgError:
+            d2 = math.nan
+        return np.array([d2, len(seen)])
+
+    d2, seen = table.total(share, 2)
+    dof = int(seen) - k
+    return float(d2), dof, None if math.isnan(d2) else chi_square_tail(float(d2), dof)
+
+
+def mcar_test(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Little's test that values are missing completely at random: one row ``<d2, dof, p>``.
+    Singular covariances give a null p."""
+    table, _ = pattern_moments(df, cols)
+    d2, dof, p = _little(PatternTable(table, len(cols)), len(cols))
+    return df.sparkSession.createDataFrame(
+        [(None if math.isnan(d2) else d2, dof, p)], "d2 double, dof bigint, p double"
     )
-    return total.select("d2", "dof", tail(F.col("d2"), F.col("dof").cast("double")).alias("p"))
 
 
 def column_fill(df: DataFrame, types: dict[str, str], cols: list[str]) -> DataFrame:
@@ -240,16 +293,6 @@ def fill_nulls(df: DataFrame, fills: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def pattern_moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per missing pattern: rows, sums and cross products, nulls counted as 0."""
-    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
-    sums = F.array(*[F.sum(zero[c]) for c in cols]).alias("s")
-    cross = F.array(
-        *[F.sum(zero[a] * zero[b]) for i, a in enumerate(cols) for b in cols[i:]]
-    ).alias("q")
-    return df.groupBy(pattern_of(cols).alias("pattern")).agg(F.count(F.lit(1)).cast("double").alias("n"), sums, cross)
-
-
 def _filled_moments(pattern: str, n, s, q, start: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """(1, x)' (1, x) summed over a pattern's rows after the imputation steps so far.
 
@@ -292,51 +335,34 @@ def fit_regressions(df: DataFrame, cols: list[str], rounds: int = MAX_ROUNDS) ->
     """Iterative regression imputation: starting values and the steps ``(column, coefficients)``.
 
     Every column with nulls is regressed in turn on all others, over the rows where it is
-    observed, until its coefficients settle. The rows are read once. The pattern table is
-    solved on the driver while it is small and in Spark tasks otherwise.
+    observed, until its coefficients settle. The rows are read only for the pattern table.
     """
-    table = settle(pattern_moments(df, cols))
-    k = len(cols)
-    seen = table.agg(
-        F.count(F.lit(1)).alias("patterns"),
-        *[F.sum(F.when(F.substring("pattern", i + 1, 1) == "0", F.col("n"))).alias(f"n{i}") for i in range(k)],
-        *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k)],
-        F.sum("n").alias("rows"),
-    ).first()
-    start = np.array([(seen[f"s{i}"] or 0.0) / (seen[f"n{i}"] or 1.0) for i in range(k)])
-    gaps = sorted(
-        (i for i in range(k) if 0 < (seen[f"n{i}"] or 0) < seen["rows"]), key=lambda i: -(seen[f"n{i}"] or 0)
-    )
-    local = seen["patterns"] * (k + 1) * (k + 2) // 2 <= DRIVER_CELLS
-    rows = table.collect() if local else None
-    steps: list[tuple[int, np.ndarray]] = []
+    moments, shift = pattern_moments(df, cols)
+    return _regressions(PatternTable(moments, len(cols)), shift, rounds)
 
-    def total_for(j: int) -> np.ndarray:
-        if rows is not None:
-            parts = [
-                _filled_moments(r["pattern"], r["n"], r["s"], r["q"], start, steps)
-                for r in rows
-                if r["pattern"][j] == "0"
-            ]
-            return np.sum(parts, axis=0)
-        so_far = list(steps)
 
-        def add(batches):
-            total = np.zeros((k + 1, k + 1))
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    total += _filled_moments(r.pattern, r.n, r.s, r.q, start, so_far)
-            yield pd.DataFrame([{"m": total.ravel().tolist()}])
+def _regressions(table: PatternTable, shift: np.ndarray, rounds: int = MAX_ROUNDS) -> tuple[list[float], list]:
+    k = len(shift)
 
-        parts = table.where(F.substring("pattern", j + 1, 1) == "0").mapInPandas(add, "m array<double>")
-        sums = parts.agg(*[F.sum(F.col("m")[i]).alias(str(i)) for i in range((k + 1) ** 2)]).first()
-        return np.array(list(sums), dtype=float).reshape(k + 1, k + 1)
+    def observed(pattern, n, s, q):
+        return np.array([n * (flag == "0") for flag in pattern] + [n])
 
+    counts = table.total(observed, k + 1)
+    gaps = sorted((j for j in range(k) if 0 < counts[j] < counts[k]), key=lambda j: -counts[j])
+    zeros = np.zeros(k)
+    steps: list[tuple[int, np.ndarray]] = []
     last: dict[int, np.ndarray] = {}
     for _ in range(rounds):
         change = 0.0
         for j in gaps:
-            beta = _regression(total_for(j), j)
+            done = list(steps)
+
+            def share(pattern, n, s, q, j=j, done=done):
+                if pattern[j] == "1":
+                    return np.zeros((k + 1) ** 2)
+                return _filled_moments(pattern, n, s, q, zeros, done).ravel()
+
+            beta = _regression(table.total(share, (k + 1) ** 2).reshape(k + 1, k + 1), j)
             if j in last:
                 size = max(1e-12, float(np.max(np.abs(last[j]))))
                 change = max(change, float(np.max(np.abs(beta - last[j]))) / size)
@@ -346,7 +372,12 @@ def fit_regressions(df: DataFrame, cols: list[str], rounds: int = MAX_ROUNDS) ->
             steps.append((j, beta))
         if change < TOLERANCE:
             break
-    return start.tolist(), [(j, beta.tolist()) for j, beta in steps]
+    out = []
+    for j, beta in steps:
+        moved = beta.copy()
+        moved[0] += shift[j] - float(beta[1:] @ shift)
+        out.append((j, moved.tolist()))
+    return shift.tolist(), out
 
 
 def apply_regressions(
@@ -431,16 +462,17 @@ def plan_missing(df: DataFrame, types: dict[str, str], cols: list[str] | None =
 
     coded_cols = needs_code(df, types, cols)
     maps = settle(rank_maps(df, coded_cols)) if coded_cols else None
-    coded = settle(rank_encode(df, coded_cols, maps).select(*cols))
-    p = mcar_test(coded, cols).first()["p"]
+    moments, shift = pattern_moments(rank_encode(df, coded_cols, maps).select(*cols), cols)
+    table = PatternTable(moments, len(cols))
+    _, _, p = _little(table, len(cols))
     plan = MissingPlan("regression", cols)
     plan.p_value = p
-    if p is not None and p == p and p >= K.MCAR_P_VALUE:
+    if p is not None and p >= K.MCAR_P_VALUE:
         plan.strategy = "mode_mean"
         plan.fills = {r["col"]: r["fill"] for r in column_fill(df, types, cols).collect()}
         return plan
     plan.coded, plan.maps = coded_cols, maps
-    plan.start, plan.steps = fit_regressions(coded, cols)
+    plan.start, plan.steps = _regressions(table, shift)
     whole_types = {"integer", "long", "short", "byte"}
     plan.whole = coded_cols + [c for c in cols if df.schema[c].dataType.typeName() in whole_types]
     return plan

@@ -335,11 +335,13 @@ def _interval_of(draws: DataFrame, ends: DataFrame) -> DataFrame:
 def apply_repairs(df: DataFrame, repairs: DataFrame, cols: list[str]) -> DataFrame:
     """Replace old by new texts. One map per column, broadcast while it is small."""
 
+    small = bool(cols) and small_enough(repairs)
+
     def one(frame: DataFrame, col: str) -> DataFrame:
         mapping = repairs.where(F.col("col") == col).select(
             F.col("old").alias(col), F.col("new").alias("_new")
         )
-        return join_map(frame, col, mapping).select(
+        return join_map(frame, col, mapping, small=small or None).select(
             *[F.coalesce("_new", col).alias(c) if c == col else F.col(c) for c in frame.columns]
         )
 

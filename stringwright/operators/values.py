@@ -69,16 +69,19 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= limit
 
 
-def join_map(df: DataFrame, key: str, mapping: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_map(
+    df: DataFrame, key: str, mapping: DataFrame, limit: int = BROADCAST_BYTES, small: bool | None = None
+) -> DataFrame:
     """Left join of rows with a map ``<key, new columns...>`` keyed on distinct values.
 
     Maps under the size limit are broadcast. Larger ones are shuffled; then at most a
     thousand of the commonest keys, found on a sample, are still served by broadcast, and
     rows already served or without a key are spread over random partitions. So no key,
     however common, gathers in one task. Which keys count as common never changes a result.
+    ``small`` passes on a size already checked.
     """
     fields = [c for c in mapping.columns if c != key]
-    if small_enough(mapping, limit):
+    if small_enough(mapping, limit) if small is None else small:
         return df.join(F.broadcast(mapping), key, "left").select(*df.columns, *fields)
 
     packed = F.struct(*fields)

@@ -99,8 +99,9 @@ class StringCleaner:
         model.inputs = inputs
 
         complete = model.missing.transform(M.tokens_to_null(table, model.tokens))
-        if model.missing.strategy != "none":
+        if model.missing.strategy == "regression":
             complete = settle(complete)
+        if model.missing.strategy != "none":
             labelled = settle(self._labelled(complete.select(*body), model.types))
         self._fit_repairs(model, labelled)
         repaired = model._repair(complete)
@@ -153,8 +154,9 @@ class StringCleaner:
     def _fit_features(self, model: StringCleanerModel, repaired: DataFrame) -> None:
         groups = T.route_columns(model.types, self.registry)
         model.groups = groups
-        for col in [*groups["boolean"], *groups["date"], *groups["string_feature"]]:
-            model.rules[col] = P.fit_feature(repaired, col, model.types[col], self.dense, self.options)
+        recognised = [*groups["boolean"], *groups["date"], *groups["string_feature"]]
+        kinds = {c: model.types[c] for c in recognised}
+        model.rules = P.fit_features(repaired, kinds, self.dense, self.options)
         if groups["string"]:
             values = settle(V.value_table(repaired, groups["string"]))
             features = L.column_features(values, self.word_vectors, self.vector_dims)
