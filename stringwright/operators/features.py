@@ -298,7 +298,7 @@ def _feature_rule(df: DataFrame, col: str, kind: str, found, dense: bool, option
             extra = ("latlong", "xyz") if dense else ("lat", "long", "x", "y", "z")
             rule.directives |= {f"{col}_city": "nominal", f"{col}_country": "nominal"}
             rule.directives |= {f"{col}_{s}": "none" for s in extra}
-    elif kind not in (*K.DATE_TYPES, "month", "ordinal") and kind not in options["registry"].processors:
+    elif kind not in (*K.DATE_TYPES, "month", "ordinal") and "registry" in options and kind not in options["registry"].processors:
         rule.directives = {col: "nominal"}
     return rule
 

@@ -98,7 +98,8 @@ def decode_nearest(df: DataFrame, cols: list[str], maps: DataFrame) -> DataFrame
         mapping = maps.where(F.col("col") == col).select(F.col("code").alias("_code"), F.col("value").alias("_value"))
         top = tops.get(col)
         near = F.ceil(F.col(col) - 0.5)
-        coded = frame.withColumn("_code", F.greatest(F.lit(0), F.least(near, F.lit(top))).cast("bigint"))
+        inside = F.greatest(F.lit(0), F.least(near, F.lit(top))).cast("bigint")
+        coded = frame.withColumn("_code", F.when(F.col(col).isNotNull(), inside))
         return join_map(coded, "_code", mapping, small=small or None).select(
             *[F.col("_value").alias(c) if c == col else F.col(c) for c in frame.columns]
         )

@@ -9,6 +9,7 @@ itself repaired is never a target, so repairs do not chain.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -20,7 +21,8 @@ from stringwright.functions import text as X
 from stringwright.operators.values import column_totals, join_map, running_total, small_enough
 from stringwright.session import settle
 
-HEAVY_GRAM = 2_000
+HEAVY_GRAM = 1_000
+WIDE_SHARE = 100
 
 
 def is_rare(n: Column, total: Column, distinct_values: Column) -> Column:
@@ -66,67 +68,86 @@ def infrequent_candidates(labelled: DataFrame, plain_strings: bool = False) -> D
     )
 
 
-def _prefix_keys(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
-    """Blocking keys such that two values with n-gram Jaccard >= threshold share one.
+def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
+    """Values with their n-grams (rare to common) split by how many values of the column hold
+    them: ``_cold`` (up to ``heavy``), ``_hot``, and ``_wide`` (more than one value in a
+    hundred). Cold and hot ones are limited to the prefix that decides similarity.
 
-    With grams ordered rare to common, similar values share a gram among the first
-    ``size - ceil(t * size) + 1`` of each, and two among one more. Grams held by many
-    values are used only in pairs of two, which keeps every block small.
+    Two sets with Jaccard >= t share an element among the first ``size - ceil(t * size) + 1``
+    of each in a common order, and two elements among one more.
     """
     coded = X.gram_codes(X.char_ngrams(F.col("value"), n, drop_last), n)
-    grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams"))
-    single = grams.where(F.col("_size") > 0).select(*values.columns, "_size", F.explode("_grams").alias("_gram"))
-    frequency = single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq"))
+    grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams")).where(F.col("_size") > 0)
+    single = grams.select(*values.columns, "_size", F.explode("_grams").alias("_gram"))
+    bounds = grams.groupBy("col").agg(F.greatest(F.lit(heavy), F.count(F.lit(1)) / WIDE_SHARE).alias("_bound"))
+    frequency = (
+        single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq")).join(F.broadcast(bounds), "col")
+    )
     if small_enough(frequency):
         frequency = F.broadcast(frequency)
-    keys = [c for c in values.columns] + ["_size"]
+    keys = [*values.columns, "_size"]
+    entry = F.struct("_freq", "_gram", (F.col("_freq") > F.col("_bound")).alias("_is_wide"))
     ordered = (
-        single.join(frequency, ["col", "_gram"])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_freq", "_gram"))).alias("_sorted"))
+        single.join(frequency, ["col", "_gram"]).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
     )
-    gram_type = "bigint" if n <= 3 else "string"
     length = F.col("_size") - F.ceil(F.col("_size") * F.lit(threshold)).cast("int") + 1
-    first = F.slice("_sorted", F.lit(1), length)
-    longer = F.slice("_sorted", F.lit(1), length + 1)
-    light = F.transform(
-        F.filter(first, lambda g: (g["_freq"] <= heavy) | (F.col("_size") == 1)),
-        lambda g: F.struct(g["_gram"].alias("a"), F.lit(None).cast(gram_type).alias("b")),
+
+    def names(entries: Column) -> Column:
+        return F.transform(entries, lambda g: g["_gram"])
+
+    first, longer = F.slice("_sorted", F.lit(1), length), F.slice("_sorted", F.lit(1), length + 1)
+    return ordered.select(
+        *keys,
+        names(F.col("_sorted")).alias("_grams"),
+        names(F.filter(first, lambda g: g["_freq"] <= heavy)).alias("_cold"),
+        names(F.filter(longer, lambda g: (g["_freq"] > heavy) & ~g["_is_wide"])).alias("_hot"),
+        F.array_sort(names(F.filter("_sorted", lambda g: g["_is_wide"]))).alias("_wide"),
     )
-    hot = F.transform(F.filter(longer, lambda g: g["_freq"] > heavy), lambda g: g["_gram"])
+
+
+def _blocks(sorted_values: DataFrame, gram_type: str) -> DataFrame:
+    """One row per value and blocking key: a cold gram, or two hot ones."""
+    nothing = F.lit(None).cast(gram_type)
+    cold = F.transform("_cold", lambda g: F.struct(g.alias("a"), nothing.alias("b")))
     pairs = F.flatten(
         F.transform(
-            hot,
+            "_hot",
             lambda a, i: F.transform(
-                F.slice(hot, i + 2, F.size(hot)),
+                F.slice("_hot", i + 2, F.size("_hot")),
                 lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
             ),
         )
     )
-    everything = F.transform("_sorted", lambda g: g["_gram"])
-    key = F.explode(F.concat(light, pairs))
-    return ordered.select(*keys, everything.alias("_grams"), key.alias("_key")).select(
-        *keys, "_grams", F.col("_key.a").alias("_a"), F.coalesce("_key.b", F.lit(0 if n <= 3 else "")).alias("_b")
+    kept = ["col", "value", "n", "_suspect", "_target", "_grams"]
+    return sorted_values.select(*kept, F.explode(F.concat(cold, pairs)).alias("_key")).select(
+        *kept, F.col("_key.a").alias("_a"), F.coalesce("_key.b", F.lit("").cast(gram_type) if gram_type == "string" else F.lit(0)).alias("_b")
     )
 
 
-def partner_pairs(
+def partner_candidates(
     values: DataFrame,
     threshold: float = K.NGRAM_JACCARD,
     n: int = 3,
     drop_last: int = 0,
     suspect: Column | None = None,
     target: Column | None = None,
-    accept: Column | None = None,
+    accept: Callable[[Column, Column], Column] | None = None,
     heavy: int = HEAVY_GRAM,
 ) -> DataFrame:
-    """All ``<col, old, new, n_old, n_new, similarity>`` with similar 3-grams where ``new``
-    is the commoner of the two (equal counts: the alphabetically first).
+    """``<col, old, new, n_old, n_new, similarity>``: for every value, similar commoner values
+    (equal counts: the alphabetically first), the best one always among them.
 
-    An exact set-similarity join: equal blocking keys, then the size filter, then the
-    similarity itself. ``suspect`` and ``target`` limit the two sides before the join and
-    ``accept`` (over ``n_old`` and ``n_new``) limits the pairs. A pair may appear once per
-    key it shares.
+    ``suspect`` and ``target`` limit the two sides and ``accept(n_old, n_new)``, which must
+    not get stricter as ``n_new`` grows, limits the pairs. Three kinds of pairs are looked at:
+
+    * sharing a cold gram or two hot ones: an equality join on these keys, whose blocks are
+      small; sides no pair of a block can accept are dropped before pairing;
+    * sharing one hot gram and otherwise only wide ones: their similarity depends on nothing
+      but the wide grams and the size, so of all such values with the same wide grams and
+      size only the commonest can be the best. One representative stands for the group;
+    * sharing only wide grams: the same with groups of equal wide grams and size.
+
+    So a prefix or a word in a third of all values never forms a block of its own.
     """
     sides = values.select(
         "col",
@@ -135,29 +156,95 @@ def partner_pairs(
         (F.lit(True) if suspect is None else suspect).alias("_suspect"),
         (F.lit(True) if target is None else target).alias("_target"),
     ).where(F.col("_suspect") | F.col("_target"))
+    gram_type = "bigint" if n <= 3 else "string"
+    listed = settle(_sorted_grams(settle(sides), threshold, n, drop_last, heavy))
+
+    def allowed(n_old: Column, n_new: Column) -> Column:
+        return n_new >= n_old if accept is None else (n_new >= n_old) & accept(n_old, n_new)
+
     # Few rows in, many pairs out: a fixed number of partitions keeps the join parallel
     # where adaptive execution would judge by the small input and merge them.
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = settle(_prefix_keys(settle(sides), threshold, n, drop_last, heavy))
-    keyed = keyed.repartition(parts, "col", "_a", "_b")
-    old = keyed.where("_suspect").select(
-        "col", "_a", "_b", F.col("value").alias("old"), F.col("n").alias("n_old"), F.col("_grams").alias("_g_old")
+    keyed = _blocks(listed, gram_type).repartition(parts, "col", "_a", "_b")
+    limits = keyed.groupBy("col", "_a", "_b").agg(
+        F.max(F.when(F.col("_target"), F.col("n"))).alias("_top"),
+        F.min(F.when(F.col("_suspect"), F.col("n"))).alias("_low"),
     )
-    new = keyed.where("_target").select(
-        "col", "_a", "_b", F.col("value").alias("new"), F.col("n").alias("n_new"), F.col("_grams").alias("_g_new")
+    useful = settle(
+        keyed.join(limits, ["col", "_a", "_b"])
+        .withColumn("_suspect", F.col("_suspect") & F.coalesce(allowed(F.col("n"), F.col("_top")), F.lit(False)))
+        .withColumn("_target", F.col("_target") & F.coalesce(allowed(F.col("_low"), F.col("n")), F.lit(False)))
+        .where(F.col("_suspect") | F.col("_target"))
+        .drop("_top", "_low")
+    ).repartition(parts, "col", "_a", "_b")
+    old = _old_side(useful.where("_suspect"), "_a", "_b")
+    new = _new_side(useful.where("_target"), "_a", "_b")
+    found = _verified(old.join(new, ["col", "_a", "_b"]), threshold, allowed)
+
+    groups = listed.where("_target")
+    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"), F.col("n"), F.col("_grams"))).alias("b")
+    rep = ["b.value", "b.n", "b._grams"]
+    by_hot = groups.select("*", F.explode("_hot").alias("_h")).groupBy("col", "_h", "_wide", "_size").agg(best)
+    hot_new = _new_side(by_hot.select("col", "_h", *rep), "_h")
+    hot_old = _old_side(listed.where("_suspect").select("*", F.explode("_hot").alias("_h")), "_h")
+    one_hot = _verified(hot_old.join(hot_new, ["col", "_h"]), threshold, allowed)
+
+    wide_groups = groups.where(F.size("_wide") > 0).groupBy("col", "_wide", "_size").agg(best)
+    shapes = listed.where(F.col("_suspect") & (F.size("_wide") > 0)).select("col", "_wide", "_size").distinct()
+    wide_only = _verified(_wide_pairs(listed.where("_suspect"), shapes, wide_groups, threshold), threshold, allowed)
+    return found.unionByName(one_hot).unionByName(wide_only)
+
+
+def _old_side(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(
+        "col", *keys, F.col("value").alias("old"), F.col("n").alias("n_old"), F.col("_grams").alias("_g_old")
     )
+
+
+def _new_side(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(
+        "col", *keys, F.col("value").alias("new"), F.col("n").alias("n_new"), F.col("_grams").alias("_g_new")
+    )
+
+
+def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Suspects with the representatives of all groups their wide grams alone make similar."""
+    mine = shapes.select("col", F.col("_wide").alias("_w_old"), F.col("_size").alias("_s_old"), F.explode("_wide").alias("_g"))
+    theirs = groups.select(
+        "col", F.col("_wide").alias("_w_new"), F.col("_size").alias("_s_new"), "b", F.explode("_wide").alias("_g")
+    )
+    shared = F.count(F.lit(1))
+    similar = (
+        mine.join(theirs, ["col", "_g"])
+        .groupBy("col", "_w_old", "_s_old", "_w_new", "_s_new")
+        .agg(shared.alias("_shared"), F.first("b").alias("b"))
+        .where(
+            F.col("_shared") * (1 + threshold) >= (F.col("_s_old") + F.col("_s_new")) * threshold - 1e-9
+        )
+    )
+    reps = similar.select(
+        "col",
+        F.col("_w_old").alias("_wide"),
+        F.col("_s_old").alias("_size"),
+        F.col("b.value").alias("new"),
+        F.col("b.n").alias("n_new"),
+        F.col("b._grams").alias("_g_new"),
+    )
+    return _old_side(suspects, "_wide", "_size").join(reps, ["col", "_wide", "_size"])
+
+
+def _verified(pairs: DataFrame, threshold: float, allowed: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs in the right order of frequency, accepted, and truly similar."""
     commoner = (F.col("n_new") > F.col("n_old")) | (
         (F.col("n_new") == F.col("n_old")) & (F.col("new") < F.col("old"))
     )
     s_old, s_new = F.size("_g_old"), F.size("_g_new")
     sizes = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
-    pairs = old.join(new, ["col", "_a", "_b"]).where(commoner & sizes)
-    if accept is not None:
-        pairs = pairs.where(accept)
     shared = F.size(F.array_intersect("_g_old", "_g_new"))
     enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
     return (
-        pairs.where(enough)
+        pairs.where(commoner & sizes & allowed(F.col("n_old"), F.col("n_new")))
+        .where(enough)
         .withColumn("_shared", shared)
         .withColumn("similarity", F.col("_shared") / (s_old + s_new - F.col("_shared")))
         .where(F.col("similarity") >= threshold)
@@ -185,7 +272,7 @@ def best_partner(pairs: DataFrame) -> DataFrame:
 
 def similar_pairs(values: DataFrame, **options) -> DataFrame:
     """The most similar commoner partner of every value, n-gram Jaccard >= 0.75."""
-    return best_partner(partner_pairs(values, **options))
+    return best_partner(partner_candidates(values, **options))
 
 
 def order_pair(pairs: DataFrame, a: str, n_a: str, b: str, n_b: str) -> DataFrame:
@@ -222,12 +309,12 @@ def close_matches(
 ) -> DataFrame:
     """Up to three sequence-similar values per suspect, the suspect itself among them.
 
-    The sequence ratio is computed in Arrow batches, only for pairs whose n-grams are
-    similar: no later step can use any other pair.
+    The sequence ratio is computed in Arrow batches, and only for the candidate partners by
+    n-grams: repairs never use any other pair.
     """
     ratio = F.pandas_udf(sequence_ratio, "double")
     marked = values.withColumn("_is", suspect)
-    found = partner_pairs(marked, threshold, suspect=F.lit(True), target=F.lit(True))
+    found = partner_candidates(marked, threshold)
     both = found.select("col", "old", "new").unionByName(
         found.select("col", F.col("new").alias("old"), F.col("old").alias("new"))
     )
@@ -275,15 +362,15 @@ def repair_pairs(
     textual = feature | (F.col("type") == "string")
 
     text_suspect = textual & rare & F.when(F.col("_spoiled"), is_anomaly).otherwise(gate)
-    by_ratio = partner_pairs(
+    by_ratio = partner_candidates(
         known.where(textual),
         drop_last=drop_last,
         suspect=text_suspect,
-        accept=far_rarer(F.col("n_old"), F.col("n_new")),
+        accept=far_rarer,
         heavy=heavy,
     )
     plain = ~F.col("type").isin(K.FEATURE_TYPES) & (F.col("type") != "string")
-    by_type = partner_pairs(
+    by_type = partner_candidates(
         known.where(plain), drop_last=drop_last, suspect=is_anomaly, target=~is_anomaly, heavy=heavy
     )
     return without_chains(best_partner(by_ratio.unionByName(by_type)))
