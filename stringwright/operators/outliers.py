@@ -157,7 +157,13 @@ def partner_candidates(
         (F.lit(True) if target is None else target).alias("_target"),
     ).where(F.col("_suspect") | F.col("_target"))
     gram_type = "bigint" if n <= 3 else "string"
-    listed = settle(_sorted_grams(settle(sides), threshold, n, drop_last, heavy))
+    sides = settle(sides)
+    asked = [r["col"] for r in sides.where("_suspect").select("col").distinct().collect()]
+    if not asked:
+        return values.sparkSession.createDataFrame(
+            [], "col string, old string, new string, n_old bigint, n_new bigint, similarity double"
+        )
+    listed = settle(_sorted_grams(sides.where(F.col("col").isin(asked)), threshold, n, drop_last, heavy))
 
     def allowed(n_old: Column, n_new: Column) -> Column:
         return n_new >= n_old if accept is None else (n_new >= n_old) & accept(n_old, n_new)
