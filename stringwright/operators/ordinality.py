@@ -56,7 +56,9 @@ def embedding_variance(values: DataFrame, vectors: DataFrame | None, dims: int =
     """``<col, variance>``: squared distances of the mean word vectors of the distinct texts
     from their centre, summed over texts and averaged over dimensions."""
     tokens = values.select("col", "value", F.explode(F.split(F.lower("value"), "[ \\-_]")).alias("word"))
-    words = tokens.select("word").distinct()
+    # Making vectors costs far more than the few bytes of a word suggest: keep it parallel.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = tokens.select("word").distinct().repartition(parts, "word")
     if vectors is None:
         known = words.withColumn("vec", seeded_vector(F.col("word"), dims))
     else:
@@ -64,7 +66,7 @@ def embedding_variance(values: DataFrame, vectors: DataFrame | None, dims: int =
         known = join_map(words, "word", table).select(
             "word", F.coalesce("_vec", seeded_vector(F.col("word"), dims)).alias("vec")
         )
-    placed = join_map(tokens, "word", known)
+    placed = join_map(tokens, "word", settle(known))
     means = placed.groupBy("col", "value").agg(*[F.avg(F.col("vec")[d]).alias(f"d{d}") for d in range(dims)])
     spread = reduce(lambda a, b: a + b, [F.var_pop(f"d{d}") for d in range(dims)])
     return means.groupBy("col").agg((spread * F.count(F.lit(1)) / dims).alias("variance"))

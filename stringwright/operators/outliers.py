@@ -21,8 +21,8 @@ from stringwright.functions import text as X
 from stringwright.operators.values import column_totals, join_map, running_total, small_enough
 from stringwright.session import settle
 
-HEAVY_GRAM = 1_000
-WIDE_SHARE = 100
+HEAVY_GRAM = 200
+WIDE_SHARE = 10
 
 
 def is_rare(n: Column, total: Column, distinct_values: Column) -> Column:
@@ -70,8 +70,8 @@ def infrequent_candidates(labelled: DataFrame, plain_strings: bool = False) -> D
 
 def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
     """Values with their n-grams (rare to common) split by how many values of the column hold
-    them: ``_cold`` (up to ``heavy``), ``_hot``, and ``_wide`` (more than one value in a
-    hundred). Cold and hot ones are limited to the prefix that decides similarity.
+    them: ``_cold`` (up to ``heavy``), ``_hot``, and ``_wide`` (more than one value in
+    ten). Cold and hot ones are limited to the prefix that decides similarity.
 
     Two sets with Jaccard >= t share an element among the first ``size - ceil(t * size) + 1``
     of each in a common order, and two elements among one more.
@@ -101,7 +101,7 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
         names(F.col("_sorted")).alias("_grams"),
         names(F.filter(first, lambda g: g["_freq"] <= heavy)).alias("_cold"),
         names(F.filter(longer, lambda g: (g["_freq"] > heavy) & ~g["_is_wide"])).alias("_hot"),
-        F.array_sort(names(F.filter("_sorted", lambda g: g["_is_wide"]))).alias("_wide"),
+        names(F.filter("_sorted", lambda g: g["_is_wide"])).alias("_wide"),
     )
 
 
@@ -187,18 +187,27 @@ def partner_candidates(
     new = _new_side(useful.where("_target"), "_a", "_b")
     found = _verified(old.join(new, ["col", "_a", "_b"]), threshold, allowed)
 
-    groups = listed.where("_target")
+    # Wide grams alone (with one more) can only reach the threshold where there are enough.
+    least = F.ceil(F.col("_size") * F.lit(threshold)).cast("int")
+    nearly = listed.where(F.size("_wide") + 1 >= least)
     best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"), F.col("n"), F.col("_grams"))).alias("b")
     rep = ["b.value", "b.n", "b._grams"]
-    by_hot = groups.select("*", F.explode("_hot").alias("_h")).groupBy("col", "_h", "_wide", "_size").agg(best)
-    hot_new = _new_side(by_hot.select("col", "_h", *rep), "_h")
-    hot_old = _old_side(listed.where("_suspect").select("*", F.explode("_hot").alias("_h")), "_h")
-    one_hot = _verified(hot_old.join(hot_new, ["col", "_h"]), threshold, allowed)
+    hot = nearly.select("*", F.explode("_hot").alias("_h"))
+    by_hot = hot.where("_target").groupBy("col", "_h", "_wide", "_size").agg(best)
+    one_hot = _verified(
+        _old_side(hot.where("_suspect"), "_h").join(_new_side(by_hot.select("col", "_h", *rep), "_h"), ["col", "_h"]),
+        threshold,
+        allowed,
+    )
 
-    wide_groups = groups.where(F.size("_wide") > 0).groupBy("col", "_wide", "_size").agg(best)
-    shapes = listed.where(F.col("_suspect") & (F.size("_wide") > 0)).select("col", "_wide", "_size").distinct()
-    wide_only = _verified(_wide_pairs(listed.where("_suspect"), shapes, wide_groups, threshold), threshold, allowed)
-    return found.unionByName(one_hot).unionByName(wide_only)
+    # Two sets of wide grams that alone suffice share one of the rarest few.
+    enough = listed.where(F.size("_wide") >= least).withColumn(
+        "_first", F.slice("_wide", F.lit(1), F.size("_wide") - least + 1)
+    )
+    groups = enough.where("_target").groupBy("col", "_wide", "_size", "_first").agg(best)
+    shapes = enough.where("_suspect").select("col", "_wide", "_size", "_first").distinct()
+    wide_only = _wide_pairs(enough.where("_suspect"), shapes, groups, threshold)
+    return found.unionByName(one_hot).unionByName(_verified(wide_only, threshold, allowed))
 
 
 def _old_side(rows: DataFrame, *keys: str) -> DataFrame:
@@ -215,26 +224,26 @@ def _new_side(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Suspects with the representatives of all groups their wide grams alone make similar."""
-    mine = shapes.select("col", F.col("_wide").alias("_w_old"), F.col("_size").alias("_s_old"), F.explode("_wide").alias("_g"))
+    mine = shapes.select(
+        "col", F.col("_wide").alias("_w_old"), F.col("_size").alias("_s_old"), F.explode("_first").alias("_g")
+    )
     theirs = groups.select(
-        "col", F.col("_wide").alias("_w_new"), F.col("_size").alias("_s_new"), "b", F.explode("_wide").alias("_g")
+        "col", F.col("_wide").alias("_w_new"), F.col("_size").alias("_s_new"), "b", F.explode("_first").alias("_g")
     )
-    shared = F.count(F.lit(1))
-    similar = (
+    shared = F.size(F.array_intersect("_w_old", "_w_new"))
+    needed = (F.col("_s_old") + F.col("_s_new")) * threshold - 1e-9
+    reps = (
         mine.join(theirs, ["col", "_g"])
-        .groupBy("col", "_w_old", "_s_old", "_w_new", "_s_new")
-        .agg(shared.alias("_shared"), F.first("b").alias("b"))
-        .where(
-            F.col("_shared") * (1 + threshold) >= (F.col("_s_old") + F.col("_s_new")) * threshold - 1e-9
+        .where(shared * (1 + threshold) >= needed)
+        .select(
+            "col",
+            F.col("_w_old").alias("_wide"),
+            F.col("_s_old").alias("_size"),
+            F.col("b.value").alias("new"),
+            F.col("b.n").alias("n_new"),
+            F.col("b._grams").alias("_g_new"),
         )
-    )
-    reps = similar.select(
-        "col",
-        F.col("_w_old").alias("_wide"),
-        F.col("_s_old").alias("_size"),
-        F.col("b.value").alias("new"),
-        F.col("b.n").alias("n_new"),
-        F.col("b._grams").alias("_g_new"),
+        .distinct()
     )
     return _old_side(suspects, "_wide", "_size").join(reps, ["col", "_wide", "_size"])
 
