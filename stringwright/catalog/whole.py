@@ -123,14 +123,19 @@ def clean_encode_wide(spark, sf_dir):
 
 @check(
     "clean_parts",
-    """WITH paths AS (SELECT p_partkey, p_type, p_brand, p_name, p_size, lower(p_type) AS t, replace(p_name, ' ', '_') AS u FROM part)
+    f"""WITH paths AS (SELECT p_partkey, p_type, p_brand, p_name, p_size, lower(p_type) AS t,
+        CASE WHEN p_partkey % 100 = 3 THEN 'x' ELSE 'v' END AS e FROM part),
+      counted AS (SELECT *, sum((e = 'x')::INT) OVER (PARTITION BY t) AS nx, sum((e = 'v')::INT) OVER (PARTITION BY t) AS nv,
+        count(*) OVER () AS total FROM paths),
+      fixed AS (SELECT *, CASE WHEN nx / nv < {K.REPAIR_RATIO} AND nx / total < {K.RARE_FREQUENCY} THEN 'v' ELSE e END AS e2 FROM counted),
+      ended AS (SELECT *, bool_or(e2 = 'x') OVER () AS left_over FROM fixed)
       SELECT p_partkey, p_type, p_brand, p_name, t || ' ' || trim(regexp_replace(p_name || ' ' || p_size::VARCHAR, '[^a-zA-Z0-9]+', ' ', 'g')) AS path,
-      t AS part_file, p_size::VARCHAR || ',' || (p_partkey % 10)::VARCHAR AS dims,
-      CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 21 WHEN 3 THEN 20 WHEN 4 THEN 5 ELSE 112 END AS rnk FROM paths""",
+      CASE WHEN left_over THEN t || ' part cs' || e2 ELSE t END AS part_file, p_size::VARCHAR || ',' || (p_partkey % 10)::VARCHAR AS dims,
+      CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 21 WHEN 3 THEN 20 WHEN 4 THEN 5 ELSE 112 END AS rnk FROM ended""",
 )
 def clean_parts(spark, sf_dir):
-    """Cleaning only, on a table whose result can be told in SQL: misspelt file names are
-    repaired, so that nothing but the kind of part is left of them."""
+    """Cleaning only, on a table whose result can be told in SQL: where all misspelt file
+    names are repaired, nothing but the kind of part is left of them."""
     df = table(spark, sf_dir, "fx_part_wide")
     return flat(orders_cleaner(spark, sf_dir, encode=False).fit(df).transform(df))
 
