@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stringwright.llm.attribution import attributed
+from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
+from stringwright.llm.personal import digest, personal_data
 from stringwright.llm.store import ship
+from stringwright.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +43,65 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op7_mixing",
+    r"""
+WITH sized AS (
+    SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+           CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+    FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+    FROM sized GROUP BY source
+), levels AS (
+    SELECT *, (sum(source_size) OVER ()
+               - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)
+), targets AS (
+    SELECT source, source_size,
+           least(CAST(3 * source_size AS DOUBLE), weight * max(level) OVER ()) AS target
+    FROM levels
+), placed AS (
+    SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+           coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size > 0 THEN budget // source_size * size
+            + greatest(0, least(size, budget % source_size - before)) ELSE 0 END AS BIGINT) AS taken
+FROM placed
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), carry=False).drop("doc")
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = attributed(docs, path, ["source", "lang", "text"], lines_of="text", rule="most")
+    of_field = lambda name: F.aggregate(
+        F.filter("sections", lambda s: s["field"] == name), F.lit(0.0), lambda n, s: n + s["tokens"]
+    ).cast("long")
+    return found.select(
+        "doc_id", "n_tokens", "n_crossing",
+        *[of_field(f).alias(f"{f}_tokens") for f in ("source", "lang", "text")],
+        F.size("sections").cast("long").alias("n_sections"),
+        F.array_max(F.transform("sections", lambda s: s["tokens"])).cast("long").alias("most_tokens"),
+    )
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
