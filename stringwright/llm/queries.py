@@ -13,6 +13,8 @@ from stringwright.llm.attribution import attributed
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
+from stringwright.llm.secrets import digest as secret_digest
+from stringwright.llm.secrets import secrets
 from stringwright.llm.store import ship
 from stringwright.llm.token_files import token_files
 
@@ -105,3 +107,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secrets(table(spark, sf_dir, "documents")))
