@@ -31,6 +31,8 @@ MANTISSA = 10
 SLACK = 6.0
 #: Members of a bucket compared in one block.
 BLOCK = 256
+#: Smallest shingle hashes that members of a bucket are compared by: all of them for most texts.
+LEAST = 256
 
 _CUTS = np.array([(k << 64) // REGISTERS for k in range(REGISTERS)], dtype=U)
 _WALKS = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U)).reshape(REGISTERS, REGISTERS), axis=1)
@@ -152,11 +154,48 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
+def _sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, least: the ``LEAST`` smallest shingle hashes of each wanted text, the whole set if it has no more."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [s[:LEAST].view(np.int64) for s in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.list_(pa.int64()))], ["rep", "least"])
+
+    wanted = docs.join(small(ids, 8), "doc_id", "left_semi").select("doc_id", "text")
+    return wanted.mapInArrow(sketch, "rep long, least array<long>").dropDuplicates(["rep"])
+
+
+def _compared(x: int, others: np.ndarray, n: np.ndarray, least: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of ``others`` may link with member x, which surely do, and their similarity.
+
+    Smallest hashes up to the lower of the two last ones are a fair sample of the union; where both
+    sketches are whole sets it is the union, and the answer is exact.
+    """
+    whole = n <= LEAST
+    own = least[x]
+    sizes = np.array([len(least[o]) for o in others])
+    flat = np.concatenate([least[o] for o in others])
+    of = np.repeat(np.arange(len(others)), sizes)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    common = np.bincount(of[own[at] == flat], minlength=len(others))
+    top = np.iinfo(np.uint64).max
+    limit = np.minimum(np.where(whole[others], U(top), np.array([least[o][-1] for o in others])), U(top) if whole[x] else own[-1])
+    union = np.searchsorted(own, limit, side="right") + np.bincount(of[flat <= limit[of]], minlength=len(others)) - common
+    sure = whole[others] & whole[x]
+    need = percent / 100
+    close = common / union >= need - SLACK * np.sqrt(need * (1 - need) / union)
+    linked = 100 * common >= percent * union
+    return np.where(sure, linked, close), sure & linked, common / union
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of one bucket's members that lie in different components.
+    """Links (a, b, sure) between one bucket's members that lie in different components.
 
-    ``members`` (key, n_members, rep, component, n_shingles, bands). Buckets are cut into blocks of
-    ``BLOCK`` members and every pair of blocks is one group, so that no bucket meets in one task.
+    ``members`` (key, pos, n_members, rep, component, n_shingles, bands, least). Buckets are cut into
+    blocks of ``BLOCK`` members and every pair of blocks is one group, so that no bucket meets in one
+    task. A pair is looked at in the first bucket it shares. Of the sure links of a member with a
+    component one is given, which joins the two; pairs whose sketches are samples are given unsure.
     """
     blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -168,28 +207,38 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             "key",
             F.least("own", "other").alias("i"),
             F.greatest("own", "other").alias("j"),
-            "own", "rep", "component", "n_shingles", "bands",
+            "own", "pos", "rep", "component", "n_shingles", "bands", "least",
         )
     )
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j, own, rep, comp, n = (table.column(c).to_numpy() for c in ("i", "j", "own", "rep", "component", "n_shingles"))
+    def pairs_of(table: pa.Table) -> list[tuple[int, int, bool]]:
+        names = ("i", "j", "own", "pos", "rep", "component", "n_shingles")
+        i, j, own, pos, rep, comp, n = (table.column(c).to_numpy() for c in names)
         regs = _matrix(table.column("bands").combine_chunks())
-        left = np.flatnonzero(own == i[0])
+        bands = regs.view(np.int64)
+        column = table.column("least").combine_chunks()
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy().view(U)
+        least = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
         right = np.flatnonzero(own == j[0])
-        out_a, out_b = [], []
-        for x in left.tolist():
-            with_x = right[comp[right] != comp[x]]
+        out = []
+        for x in np.flatnonzero(own == i[0]).tolist():
+            others = right[comp[right] != comp[x]]
             if i[0] == j[0]:
-                with_x = with_x[rep[with_x] > rep[x]]
-            if len(with_x):
-                equal = (regs[with_x] == regs[x]).sum(axis=1)
-                good = rep[with_x[may_link(equal, n[with_x], np.full(len(with_x), n[x]), percent)]]
-                out_a.append(np.maximum(good, rep[x]))
-                out_b.append(np.minimum(good, rep[x]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+                others = others[rep[others] > rep[x]]
+            others = others[(bands[others] == bands[x]).argmax(axis=1) == pos[0]]
+            equal = (regs[others] == regs[x]).sum(axis=1)
+            others = others[may_link(equal, n[others], np.full(len(others), n[x]), percent)]
+            if len(others):
+                near, sure, how = _compared(x, others, n, least, percent)
+                unsure = near & ~sure
+                order = np.flatnonzero(sure)[np.argsort(-how[sure], kind="stable")]
+                best = order[np.unique(comp[others[order]], return_index=True)[1]]
+                for o, s in [(o, True) for o in best.tolist()] + [(o, False) for o in np.flatnonzero(unsure).tolist()]:
+                    y = others[o]
+                    out.append((int(max(rep[x], rep[y])), int(min(rep[x], rep[y])), s))
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -203,9 +252,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
         def answer(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                a, b = pairs_of(part)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                if out := pairs_of(part):
+                    a, b, sure = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
 
         for batch in batches:
             if batch.num_rows:
@@ -215,7 +264,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from answer(groups(rest, True)[0])
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(compare, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -223,7 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Texts with equal sets form a class, whose smallest id stands for it. In every bucket (texts with
     an equal band) members are first compared with the smallest, each text with the partner it meets
-    in most buckets; then all members that are still in different components are compared, in blocks.
+    in most buckets; then all members that are still in different components are compared, in blocks,
+    by their smallest hashes, which for most texts are the full set; other pairs are confirmed on it.
     So no link is lost within a bucket, and copies never meet pair by pair. A pair at the threshold
     shares no band with probability (1 - 0.75^4)^48 = 1e-8.
 
@@ -244,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .dropDuplicates(["rep"]),
         "reps",
     )
-    bands = reps.select("rep", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("key"), "rep")
+    bands = reps.select("rep", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("key"), "pos", "rep")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n_members"))
     met = settle(bands.join(buckets.where("n_members > 1"), "key"), "met")
 
@@ -258,21 +308,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first_found = components(links)
     placed = (
         met.join(first_found, met.rep == first_found.node, "left")
-        .select("key", "n_members", "rep", F.coalesce("component", "rep").alias("component"))
+        .select("key", "pos", "n_members", "rep", F.coalesce("component", "rep").alias("component"))
     )
     placed = settle(placed, "placed")
     split = (
         placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi").select("key")
     )
-    members = placed.join(split, "key").join(reps, "rep")
-    seconds = _across(members, percent).join(firsts, ["a", "b"], "left_anti")
-    seconds = settle(seconds, "seconds")
-    if seconds.limit(1).count():
-        more = settle(_confirmed(seconds, docs, percent), "more")
-        found = components(links.union(more))
-    else:
-        found = first_found
+    members = settle(placed.join(split, "key"), "members")
+    wanted = settle(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sketches = settle(_sketches(wanted, docs), "sketches")
+    seconds = settle(_across(members.join(reps, "rep").join(sketches, "rep"), percent), "seconds")
+    unsure = seconds.where("NOT sure").select("a", "b").distinct().join(firsts, ["a", "b"], "left_anti")
+    more = seconds.where("sure").select("a", "b")
+    unsure = settle(unsure, "unsure")
+    if unsure.limit(1).count():
+        more = more.union(settle(_confirmed(unsure, docs, percent), "more"))
+    found = components(links.union(more)) if more.limit(1).count() else first_found
     return (
         signed.join(classes, ["k1", "k2", "n_shingles"], "left")
         .join(found, F.col("rep") == F.col("node"), "left")
