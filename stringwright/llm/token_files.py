@@ -10,8 +10,10 @@ ids take one byte. A reader looks control bytes up in a table of 256 rows to fin
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,19 +28,33 @@ MAGIC = b"RANKVB01"
 #: Ids in a file, beyond which the next one begins; a longer document makes a file of its own.
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 #: Lengths of the four ids of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
+#: What Latin-1 texts are made of when every character above ASCII is a letter, which normal forms leave
+#: alone, and the letters' lower case. Such texts are cut into the vocabulary's own pieces.
+_LATIN_OK = bytes([*range(128), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_LATIN_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+# Fixed value: the pieces of the vocabulary, for Latin-1 in lower case.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xff]+|[0-9]|[^\sa-z0-9\xc0-\xff]+").findall
+
 _encoders: dict[str, Callable[[str | None], bytes]] = {}
 
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
-    """Ids of a whole text as little-endian uint32 bytes.
+def id_type(path: str) -> str:
+    """The narrowest of uint16 and uint32 that holds all ids of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoder(path: str, kind: str) -> Callable[[str | None], bytes]:
+    """Ids of a whole text as bytes of type ``kind``.
 
     The vocabulary drops white space and forms no token across it, so a text's ids are its words' ids
-    in order; each different word is encoded once by a worker.
+    in order; each different word, or piece of a Latin-1 text, is encoded once by a worker.
     """
     if path in _encoders:
         return _encoders[path]
@@ -46,29 +62,41 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    code = "H" if kind == "<u2" else "I"
+    known: dict[str, dict[bytes, bytes]] = {"latin-1": {}, "utf-8": {}}
 
-    def encode(text: str | None) -> bytes:
-        words = text.encode().split() if text else []
-        new = {w for w in words if w not in known} if words else ()
+    def join(words: list[bytes], letters: str) -> bytes:
+        seen = known[letters]
+        new = list(set(words).difference(seen))
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            batch = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, batch))
-        return b"".join(map(known.__getitem__, words))
+            if len(seen) + len(new) > REMEMBERED:
+                seen.clear()
+                new = list(set(words))
+            batch = tokenizer.encode_batch_fast([w.decode(letters) for w in new], add_special_tokens=False)
+            seen.update((w, array(code, e.ids).tobytes()) for w, e in zip(new, batch))
+        return b"".join(map(seen.__getitem__, words))
+
+    def encode(text: str | None) -> bytes:
+        if not text:
+            return b""
+        try:
+            latin = text.encode("latin-1")
+        except UnicodeEncodeError:
+            latin = b""
+        if latin and not latin.translate(None, _LATIN_OK) and b"<|" not in latin:
+            return join(_PIECES(latin.translate(_LATIN_LOWER)), "latin-1")
+        return join(text.encode().split(), "utf-8")
 
     _encoders[path] = encode
     return encode
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (uint32 bytes with the end id) of every row; a null text is empty."""
-    end = np.array([end_id], "<u4").tobytes()
+def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, ids (bytes of type ``kind``, with the end id) of every row; a null text is empty."""
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -78,14 +106,14 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequency_ranks(ids: DataFrame) -> np.ndarray:
+def frequency_ranks(ids: DataFrame, kind: str) -> np.ndarray:
     """Token ids by falling frequency; as many as the vocabulary has at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                n = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -117,9 +145,10 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def file_bytes(doc_ids: list[int | None], ids: list[bytes], rank_of: np.ndarray) -> bytes:
-    lengths = np.array([len(x) // 4 for x in ids], "<u4")
-    control, data = pack(rank_of[np.frombuffer(b"".join(ids), "<u4")])
+def file_bytes(doc_ids: list[int | None], ids: list[bytes], rank_of: np.ndarray, kind: str) -> bytes:
+    width = np.dtype(kind).itemsize
+    lengths = np.array([len(x) // width for x in ids], "<u4")
+    control, data = pack(rank_of[np.frombuffer(b"".join(ids), kind)])
     head = MAGIC + np.array([len(ids), lengths.sum()], "<i8").tobytes()
     names = np.array([x or 0 for x in doc_ids], "<i8").tobytes()
     nulls = np.array([x is None for x in doc_ids], np.uint8).tobytes()
@@ -142,7 +171,7 @@ def file_documents(content: bytes, id_of: np.ndarray) -> tuple[list[int | None],
     return [None if z else x for x, z in zip(names, nulls)], lengths, ids
 
 
-def write_files(ids: DataFrame, folder: str, id_of: np.ndarray) -> DataFrame:
+def write_files(ids: DataFrame, folder: str, id_of: np.ndarray, kind: str) -> DataFrame:
     """Write ``ids`` (doc_id, ids) in ascending doc_id order, null first; one row per file.
 
     Partitions are ranges of doc_id, and names sort as their contents do. Files are written under a
@@ -156,6 +185,7 @@ def write_files(ids: DataFrame, folder: str, id_of: np.ndarray) -> DataFrame:
 
         store, path = FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
+        width = np.dtype(kind).itemsize
         names: list[int | None] = []
         held: list[bytes] = []
         size = number = 0
@@ -164,7 +194,7 @@ def write_files(ids: DataFrame, folder: str, id_of: np.ndarray) -> DataFrame:
             nonlocal size, number
             name, draft = f"{path}/{part:08d}-{number:06d}.ids", f"{path}/_{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
-                out.write(file_bytes(names, held, rank_of))
+                out.write(file_bytes(names, held, rank_of, kind))
             store.move(draft, name)
             row = pa.RecordBatch.from_pylist([{"file": name, "n_docs": len(names), "n_ids": size}])
             names.clear(), held.clear()
@@ -175,11 +205,11 @@ def write_files(ids: DataFrame, folder: str, id_of: np.ndarray) -> DataFrame:
         for batch in batches:
             for name, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = x.as_py()
-                if held and size + len(body) // 4 > FILE_IDS:
+                if held and size + len(body) // width > FILE_IDS:
                     yield flush()
                 names.append(name)
                 held.append(body)
-                size += len(body) // 4
+                size += len(body) // width
         if held:
             yield flush()
 
@@ -223,10 +253,11 @@ def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     table writes no file and gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    ids = settle(encoded(docs, path, end_id), "ids")
-    id_of = frequency_ranks(ids)
+    kind = id_type(path)
+    ids = settle(encoded(docs, path, end_id, kind), "ids")
+    id_of = frequency_ranks(ids, kind)
     folder = new_path(spark, "token-files")
-    written = settle(write_files(ids, folder, id_of), "written")
+    written = settle(write_files(ids, folder, id_of, kind), "written")
     if not written.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     documents = read_files(spark, folder, id_of)
