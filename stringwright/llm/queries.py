@@ -13,6 +13,7 @@ from stringwright.llm.attribution import attributed
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
+from stringwright.llm.quality import judged
 from stringwright.llm.secrets import digest as secret_digest
 from stringwright.llm.secrets import secrets
 from stringwright.llm.store import ship
@@ -112,3 +113,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secrets")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).drop("distance", "grp")
