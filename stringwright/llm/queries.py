@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringwright.llm.attribution import attributed
+from stringwright.llm.decontaminate import contamination
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
@@ -118,3 +119,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("distance", "grp")
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
