@@ -14,6 +14,7 @@ from stringwright.llm.decontaminate import contamination
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
+from stringwright.llm.ppm import language_scores
 from stringwright.llm.quality import judged
 from stringwright.llm.secrets import digest as secret_digest
 from stringwright.llm.secrets import secrets
@@ -124,3 +125,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_decontaminate")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@query("op5_language_model")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return language_scores(table(spark, sf_dir, "documents"), held_out)
