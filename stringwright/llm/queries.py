@@ -16,6 +16,7 @@ from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
 from stringwright.llm.ppm import language_scores
 from stringwright.llm.quality import judged
+from stringwright.llm.repeats import without_repeats
 from stringwright.llm.secrets import digest as secret_digest
 from stringwright.llm.secrets import secrets
 from stringwright.llm.store import ship
@@ -131,3 +132,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     return language_scores(table(spark, sf_dir, "documents"), held_out)
+
+
+@query("op3_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
