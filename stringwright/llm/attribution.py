@@ -16,18 +16,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose tokens a worker remembers.
-REMEMBERED = 300_000
-#: A piece is a word with the space before it, or white space; no token of the vocabulary reaches across.
-PIECE = re.compile(r"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-#: Other characters that count as white space for the vocabulary; texts with them are encoded in one.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+REMEMBERED = 500_000
 RULES = ("first", "last", "most", "share")
+#: Latin-1 texts in which every character above ASCII is a letter are cut into the vocabulary's own pieces.
+_LATIN_OK = bytes([*range(128), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+# Fixed value: the pieces of the byte-level vocabulary, for such texts.
+_PIECES = re.compile(
+    rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\xc0-\xff]+|\s+(?!\S)|\s+"
+).findall
 
 _cutters: dict[str, Callable[[str], tuple[np.ndarray, np.ndarray]]] = {}
 
 
+class Known:
+    """Token spans of pieces, in one growing table: piece i has the rows firsts[i] to firsts[i + 1]."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.firsts = np.zeros(1024, np.int64)
+        self.spans = np.zeros((4096, 2), np.int64)
+
+    def add(self, pieces: list[bytes], offsets: list[list[tuple[int, int]]]) -> None:
+        n, rows = len(self.index), int(self.firsts[len(self.index)])
+        ends = rows + np.cumsum([len(o) for o in offsets])
+        while len(self.firsts) <= n + len(pieces):
+            self.firsts = np.concatenate([self.firsts, np.zeros_like(self.firsts)])
+        while len(self.spans) < ends[-1]:
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        self.firsts[n + 1 : n + 1 + len(pieces)] = ends
+        self.spans[rows : ends[-1]] = [span for o in offsets for span in o]
+        self.index.update(zip(pieces, range(n, n + len(pieces))))
+
+
 def cutter(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
-    """Character starts and ends of all tokens of a text; each different piece is encoded once."""
+    """Character starts and ends of all tokens of a whole text.
+
+    The pieces of a Latin-1 text are encoded once by a worker; no token reaches across pieces, so their
+    spans, moved to where the pieces stand, are those of the text. Other texts are encoded as they are.
+    """
     if path in _cutters:
         return _cutters[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,37 +61,32 @@ def cutter(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known: dict[str, int] = {}
-    # tokens of all known pieces in one run: piece i has rows firsts[i] to firsts[i + 1]
-    state = {"firsts": np.zeros(1, np.int64), "spans": np.zeros((0, 2), np.int64)}
-
-    def offsets(texts: list[str]) -> list[np.ndarray]:
-        batch = tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.offsets, np.int64).reshape(-1, 2) for e in batch]
+    known = Known()
 
     def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
-        if ODD_SPACE.search(text):
-            spans = offsets([text])[0]
+        nonlocal known
+        try:
+            latin = text.encode("latin-1")
+        except UnicodeEncodeError:
+            latin = b"\xa0"
+        if latin.translate(None, _LATIN_OK):
+            spans = np.array(tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
             return spans[:, 0], spans[:, 1]
-        pieces = PIECE.findall(text)
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
+        pieces = _PIECES(latin)
+        new = list(set(pieces).difference(known.index))
+        if new and len(known.index) + len(new) > REMEMBERED:
+            known = Known()
+            new = list(set(pieces))
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                state["firsts"], state["spans"] = np.zeros(1, np.int64), np.zeros((0, 2), np.int64)
-                new = list(dict.fromkeys(pieces))
-            got = offsets(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            ends = state["firsts"][-1] + np.cumsum([len(g) for g in got])
-            pending = (state["firsts"], ends), (state["spans"], *got)
-            state["firsts"], state["spans"] = map(np.concatenate, pending)
-        which = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            batch = tokenizer.encode_batch([p.decode("latin-1") for p in new], add_special_tokens=False)
+            known.add(new, [e.offsets for e in batch])
+        which = np.fromiter(map(known.index.__getitem__, pieces), np.int64, len(pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.cumsum(lengths) - lengths
-        first, n = state["firsts"][which], state["firsts"][which + 1] - state["firsts"][which]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spans = state["spans"][np.repeat(first, n) + within] + np.repeat(at, n)[:, None]
-        return spans[:, 0], spans[:, 1]
+        first = known.firsts[which]
+        n = known.firsts[which + 1] - first
+        row = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+        at = np.repeat(np.cumsum(lengths) - lengths, n)
+        return known.spans[row, 0] + at, known.spans[row, 1] + at
 
     _cutters[path] = cut
     return cut
@@ -108,45 +129,60 @@ def attributed(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    item = pa.struct(
-        [("field", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]
-    )
     names = ["doc_id", "n_tokens", "n_crossing", "sections"]
 
-    def row(cut: Callable[[str], tuple[np.ndarray, np.ndarray]], values: list[str]) -> tuple[int, int, list[dict]]:
-        labels, limits, at = [], [0], 0
-        for k, (field, value) in enumerate(zip(fields, values)):
-            whole = value + (between if k + 1 < len(fields) else "")
-            parts = re.split(r"(?<=\n)", whole) if field == lines_of else [whole]
-            for line, part in enumerate(parts):
-                at += len(part)
-                labels.append((field, line))
-                limits.append(at)
-        starts, ends = cut(between.join(values))
-        edges = np.array(limits, np.int64)
-        # sections without characters hold nothing: search among the others
-        full = np.flatnonzero(np.diff(edges) > 0)
-        tokens = np.zeros(len(labels))
-        crossing = 0
-        if len(full):
-            tokens[full], crossed = allot(starts, ends, np.append(edges[full], edges[-1]), rule)
-            crossing = int(crossed.sum())
-        out = [
-            {"field": f, "line": n, "start": a, "end": b, "tokens": t}
-            for (f, n), a, b, t in zip(labels, limits[:-1], limits[1:], tokens.tolist())
-        ]
-        return len(starts), crossing, out
+    def lengths_of(values: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """Field, line and length of every section of a row."""
+        field, line, length = [], [], []
+        for k, (name, value) in enumerate(zip(fields, values)):
+            parts = [len(x) + 1 for x in value.split("\n")] if name == lines_of else [len(value) + 1]
+            parts[-1] += (len(between) if k + 1 < len(fields) else 0) - 1
+            field += [k] * len(parts)
+            line += range(len(parts))
+            length += parts
+        return field, line, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(path)
+        labels = pa.array(fields)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = zip(*(part.column(i + 1) for i in range(len(fields))))
-                rows = [row(cut, [v.as_py() or "" for v in values]) for values in texts]
-                n, crossing, sections = zip(*rows)
-                arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(crossing, pa.int64()), pa.array(sections, pa.list_(item))]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                field, line, start, end, tokens, sizes, counts, crossings = [], [], [], [], [], [], [], []
+                for row in texts:
+                    values = [v.as_py() or "" for v in row]
+                    of, number, length = lengths_of(values)
+                    limits = np.concatenate([[0], np.cumsum(length)])
+                    starts, ends = cut(between.join(values))
+                    # sections without characters hold nothing: search among the others
+                    full = np.flatnonzero(length)
+                    held, crossed = np.zeros(len(length)), 0
+                    if len(full):
+                        held[full], by_section = allot(starts, ends, np.append(limits[full], limits[-1]), rule)
+                        crossed = int(by_section.sum())
+                    field += of
+                    line += number
+                    start.append(limits[:-1])
+                    end.append(limits[1:])
+                    tokens.append(held)
+                    sizes.append(len(length))
+                    counts.append(len(starts))
+                    crossings.append(crossed)
+                sections = pa.StructArray.from_arrays(
+                    [
+                        labels.take(pa.array(field, pa.int32())),
+                        pa.array(line, pa.int32()),
+                        pa.array(np.concatenate(start), pa.int32()),
+                        pa.array(np.concatenate(end), pa.int32()),
+                        pa.array(np.concatenate(tokens)),
+                    ],
+                    ["field", "line", "start", "end", "tokens"],
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), sections)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(crossings, pa.int64()), lists], names
+                )
 
     schema = (
         "doc_id long, n_tokens long, n_crossing long, "
