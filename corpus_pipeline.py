@@ -1 +1,87 @@
-"""The corpus pipeline."""
+"""From raw documents to token files in five stages, each on all that the one before has kept.
+
+``STAGES`` is the order; ``run`` applies it. Every stage but the last returns the columns of
+``documents``; stages are written as Parquet and read again in between.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stringwright.llm.decontaminate import contamination
+from stringwright.llm.mixing import take
+from stringwright.llm.near_dedup import near_duplicates
+from stringwright.llm.quality import judged
+from stringwright.llm.store import settle, ship, small
+from stringwright.llm.token_files import token_files
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, bad: Column) -> DataFrame:
+    """Rows of ``docs`` whose id no bad verdict names. A null id names nothing: such rows are no
+    verdict's and stay."""
+    ids = settle(verdicts.where(bad & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "bad")
+    return docs.join(small(ids, 8), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base limits or stand out among their language and source go.
+
+    A null or empty text has too few words and goes. Rows that share an id go together when one of
+    them is rejected; rows without an id cannot be named and stay, here and in the next two stages.
+    """
+    return _without(docs, judged(docs), ~F.col("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Rows that share an id, as repeated rows do, leave one row, the first by its columns in order; rows without an id are not compared and stay.
+    """
+    kept = _without(docs, near_duplicates(docs), ~F.col("kept"))
+    twice = settle(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return kept
+    single = kept.join(small(twice, 8), "doc_id", "left_anti")
+    first = kept.join(small(twice, 8), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.select(docs.columns).union(first.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, contamination(docs, benchmark), F.col("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come in the proportions of their weights; rows repeat where epochs do."""
+    return take(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as files of token ids, and per document where its ids stand."""
+    return token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token files", write_tokens),
+]
+
+#: The robust estimates of the first stage and the tokenizer of the last have no SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = settle(docs, name.replace(" ", "-"))
+    return docs

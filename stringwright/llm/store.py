@@ -35,6 +35,7 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 
     Column names are kept; an empty table keeps its schema.
     """
+    ship(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
