@@ -172,17 +172,17 @@ def _compared(x: int, others: np.ndarray, n: np.ndarray, least: list[np.ndarray]
     Smallest hashes up to the lower of the two last ones are a fair sample of the union; where both
     sketches are whole sets it is the union, and the answer is exact.
     """
-    whole = n <= LEAST
     own = least[x]
     sizes = np.array([len(least[o]) for o in others])
+    all_of_x, whole = len(own) == n[x], sizes == n[others]
     flat = np.concatenate([least[o] for o in others])
     of = np.repeat(np.arange(len(others)), sizes)
     at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
     common = np.bincount(of[own[at] == flat], minlength=len(others))
     top = np.iinfo(np.uint64).max
-    limit = np.minimum(np.where(whole[others], U(top), np.array([least[o][-1] for o in others])), U(top) if whole[x] else own[-1])
+    limit = np.minimum(np.where(whole, U(top), np.array([least[o][-1] for o in others])), U(top) if all_of_x else own[-1])
     union = np.searchsorted(own, limit, side="right") + np.bincount(of[flat <= limit[of]], minlength=len(others)) - common
-    sure = whole[others] & whole[x]
+    sure = whole & all_of_x
     need = percent / 100
     close = common / union >= need - SLACK * np.sqrt(need * (1 - need) / union)
     linked = 100 * common >= percent * union

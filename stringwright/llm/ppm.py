@@ -4,8 +4,9 @@ A text is the bytes of its lower-cased words, one space between words and a line
 words and bytes determine each other. The model is a trie of contexts of up to ``ORDER`` bytes with
 counts of the bytes that follow, gathered from all training texts. A byte is predicted by the longest
 context that was seen; if that context has not seen the byte, an escape is paid and the next shorter
-one is asked, without the symbols that the longer one has excluded. A context with n occurrences of q
-different bytes escapes with q / (n + q). Below all contexts all 256 bytes are equally likely.
+one is asked, without the symbols that the longer one has excluded. In a context with n occurrences of
+q different bytes, one seen c times has (2c - 1) / 2n and the escape q / 2n. Below all contexts all
+256 bytes are equally likely.
 """
 
 from __future__ import annotations
@@ -143,8 +144,8 @@ class Trie:
     """The model: per order the nodes in sorted order, and what a prediction needs of each.
 
     A node is a context of ``order`` bytes with its next byte, as a number. Of order k, ``gain`` is the
-    logarithm of the node's count; of its context, ``total`` is the logarithm of occurrences plus
-    different bytes, ``escape`` that of escaping from it when it is asked first, and for a context
+    logarithm of twice the node's count less one; of its context, ``total`` is the logarithm of twice
+    the occurrences, ``escape`` that of escaping from it when it is asked first, and for a context
     asked after its longer one failed, kept with the longer one, ``rest`` and ``on``: the same two
     after exclusion.
     """
@@ -152,7 +153,7 @@ class Trie:
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.order = len(nodes) - 1
         self.keys = [k for k, _ in nodes]
-        self.gain = [np.log10(n.astype(np.float64)).astype(np.float32) for _, n in nodes]
+        self.gain = [np.log10(2.0 * n - 1).astype(np.float32) for _, n in nodes]
         self.contexts, self.total, self.escape, self.rest, self.on = [], [], [], [], []
         sums, kinds = [], []
         for order, (keys, n) in enumerate(nodes):
@@ -162,7 +163,7 @@ class Trie:
             sums.append(count.astype(np.float64))
             kinds.append(different.astype(np.float64))
             self.contexts.append(contexts)
-            self.total.append(np.log10(sums[-1] + kinds[-1]))
+            self.total.append(np.log10(2 * sums[-1]))
             self.escape.append(np.log10(kinds[-1]) - self.total[-1])
             if order == 0:
                 # below the empty context: the bytes it has not seen, equally likely
@@ -177,7 +178,7 @@ class Trie:
             free = np.maximum(sums[order - 1][parent] - excluded, 0.0)
             kinds_left = kinds[order - 1][parent] - kinds[order]
             # with no new byte left the shorter context is passed at no cost
-            over = free + kinds_left
+            over = 2 * free
             self.rest.append(np.log10(np.where(over > 0, over, 1.0)))
             self.on.append(np.where(over > 0, np.log10(np.where(kinds_left > 0, kinds_left, 1.0)) - self.rest[-1], 0.0))
         for part in (self.total, self.escape, self.rest, self.on):
