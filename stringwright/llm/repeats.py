@@ -220,10 +220,8 @@ def _kept(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, "node long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _starts(runs: DataFrame, texts: DataFrame) -> DataFrame:
+def _starts(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """node, lo, hi: ranges of places where repeated windows start, enough to cover all their bytes."""
-    heads = runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    open_ = settle(runs.join(heads, "prefix"), "open")
     same_run = settle(_twice(open_, "prefix", "run"), "same-run")
     marked = open_.join(same_run, ["prefix", "run"], "left").withColumn("whole", F.col("witness").isNotNull())
 
@@ -298,10 +296,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts = named(docs.withColumn("mark", F.xxhash64("text"))).join(small(others, 8), "node", "left_anti")
     texts = texts.where(F.octet_length("text") >= LENGTH).select("node", "text")
     runs = settle(_runs(texts), "runs")
-    heads = runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    alike = settle(runs.join(heads, "prefix").select("node").distinct(), "alike")
+    heads = settle(runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "heads")
+    open_runs = settle(runs.join(heads, "prefix"), "open")
+    alike = settle(open_runs.select("node").distinct(), "alike")
     open_texts = settle(texts.join(small(alike, 8), "node", "left_semi").dropDuplicates(["node"]), "open-texts")
-    ranges = _starts(runs, open_texts).groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = _starts(open_runs, open_texts).groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     # copies lose everything anyway
     reps = copies.select(F.col("rep").alias("node"))
     ranges = ranges.join(small(settle(reps, "reps"), 8), "node", "left_anti")
