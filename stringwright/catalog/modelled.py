@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from stringwright.catalog.registry import check, grams, md5_32, quoted
 from stringwright.catalog.repairs import vals_sql, value_counts
 from stringwright.functions import text as X
 from stringwright.operators import ordinality as L
-from stringwright.session import settle
+from stringwright.session import settle, work_folder
 from stringwright.sources import tables as S
 
 DIMS = 64
@@ -101,7 +100,7 @@ def keyword_flag(spark, sf_dir):
     return L.keyword_flag(value_counts(spark, sf_dir, PLAIN))
 
 
-COMMON = f"""shared AS (SELECT c.col, CASE WHEN c.ratio > 0.8 OR c.distinct_values > 500 THEN 0 ELSE coalesce(s.hit, 0) END AS common
+COMMON = f"""shared AS (SELECT c.col, CASE WHEN c.ratio > 0.8 THEN 0 ELSE coalesce(s.hit, 0) END AS common
       FROM counts c LEFT JOIN (SELECT col, max(k >= 2)::INT AS hit FROM (SELECT col, g, count(*) AS k FROM
         (SELECT col, unnest({grams('value', 4)}) AS g FROM vals) u GROUP BY col, g) x GROUP BY col) s ON c.col = s.col)"""
 
@@ -134,7 +133,7 @@ def col_features(spark, sf_dir):
 def merge_vectors(spark, sf_dir):
     """The first vector of every label merged with the last of every even one."""
     rows = table(spark, sf_dir, "embeddings")
-    folder = tempfile.mkdtemp(prefix="run-")
+    folder = work_folder(spark)
     S.write_table(rows.groupBy(F.col("label").alias("word")).agg(F.min_by("embedding", "vec_id").alias("vec")), folder + "/a")
     even = rows.where(F.col("label") % 2 == 0).groupBy(F.col("label").alias("word"))
     S.write_table(even.agg(F.max_by("embedding", "vec_id").alias("vec")), folder + "/b")
@@ -161,7 +160,7 @@ RAW = [
 
 
 def raw_features(spark, sf_dir):
-    folder = tempfile.mkdtemp(prefix="run-")
+    folder = work_folder(spark)
     sources = [
         ("customer", "c_nationkey", "c_mktsegment", "False", "nominal"),
         ("lineitem", "l_suppkey", "l_returnflag", "True", "ordinal"),
@@ -254,8 +253,8 @@ def gbt_fit_predict(spark, sf_dir):
 @check("model_save_load")
 def model_save_load(spark, sf_dir):
     rows = training_features(spark, sf_dir)
-    path = tempfile.mkdtemp(prefix="run-") + "/model"
-    L.save_model(L.train(rows, trees=10), path)
+    path = work_folder(spark) + "/model"
+    L.save_model(L.train(rows), path)
     return shown(L.predict(rows, L.load_model(path)))
 
 
@@ -266,7 +265,7 @@ def loo(spark, sf_dir):
 
 @check("holdout")
 def holdout(spark, sf_dir):
-    return shown(L.hold_out(training_features(spark, sf_dir), "source", ["p_brand", "qty_band", "lang"], trees=50))
+    return shown(L.hold_out(training_features(spark, sf_dir), "source", ["p_brand", "qty_band", "lang"]))
 
 
 @check("grid")
@@ -275,7 +274,7 @@ def grid(spark, sf_dir):
 
 
 SCORED = """scored AS (SELECT quality AS label, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS prediction,
-      round(least(n_chars, 20000) / 500.0, 0) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+      round(n_chars / 500.0, 0) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def scored(spark, sf_dir):
@@ -284,7 +283,7 @@ def scored(spark, sf_dir):
     return joined.select(
         F.col("quality").alias("label"),
         F.when(F.col("n_chars") > 2000, 1).otherwise(0).alias("prediction"),
-        F.round(F.least("n_chars", F.lit(20000)) / 500.0, 0).alias("score"),
+        F.round(F.col("n_chars") / 500.0, 0).alias("score"),
     )
 
 

@@ -38,6 +38,10 @@ def md5_32(expression: str) -> str:
     return f"('0x' || substr(md5({expression}), 1, 8))::BIGINT"
 
 
+def md5_60(expression: str) -> str:
+    return f"('0x' || substr(md5({expression}), 1, 15))::BIGINT"
+
+
 def grams(value: str, n: int = 3, distinct: bool = True) -> str:
     """Character n-grams of a text as a list."""
     listed = f"[substr({value}, g::INT, {n}) FOR g IN range(1, greatest(length({value}) - {n} + 2, 1))]"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stringwright import constants as K
 from stringwright.catalog.fixtures import table
-from stringwright.catalog.registry import check, grams, in_list, jaccard, md5_32
+from stringwright.catalog.registry import check, grams, in_list, jaccard, md5_60
 from stringwright.catalog.typed import labelled, labelled_sql, long_rows, rows_sql
 from stringwright.operators import missing as M
 from stringwright.operators import outliers as O
@@ -141,12 +141,6 @@ def infrequent_candidates(spark, sf_dir):
     return O.infrequent_candidates(labelled(spark, sf_dir, [c for c in INFREQUENT if c[1] != "qty"]))
 
 
-@check("close_matches")
-def close_matches(spark, sf_dir):
-    values = value_counts(spark, sf_dir, SIMILAR)
-    return O.close_matches(values, F.col("n") <= 10)
-
-
 @check(
     "typo_repair",
     f"""WITH fixed AS (WITH vals AS (SELECT 'segment' AS col, segment AS value, count(*) AS n FROM fx_typo GROUP BY segment),
@@ -207,7 +201,7 @@ def type_outlier_repair(spark, sf_dir):
     clean AS (SELECT col, value, n, sum(n) OVER (PARTITION BY col ORDER BY value) AS upto FROM marked
       WHERE plain AND label = 'normal'),
     sums AS (SELECT col, sum(n) AS clean_rows FROM clean GROUP BY col),
-    draws AS (SELECT m.col, m.value AS old, ({md5_32("'0|' || m.col || '|' || m.value")}) % clean_rows AS draw
+    draws AS (SELECT m.col, m.value AS old, ({md5_60("'0|' || m.col || '|' || m.value")}) % clean_rows AS draw
       FROM marked m JOIN sums s ON m.col = s.col WHERE plain AND bad
       AND NOT EXISTS (SELECT 1 FROM repairs r WHERE r.col = m.col AND r.old = m.value))
     SELECT d.col, d.old, c.value AS new FROM draws d JOIN clean c ON d.col = c.col AND d.draw < c.upto

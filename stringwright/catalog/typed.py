@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from stringwright.catalog.registry import check, in_list, quoted
 from stringwright.functions import recognise
 from stringwright.operators import types as T
 from stringwright.operators import values as V
-from stringwright.session import settle
+from stringwright.session import settle, work_folder
 from stringwright.sources import tables as S
 
 # Columns with the type each is known to hold.
@@ -87,7 +86,7 @@ def matches_sql(kind: str, value: str = "value") -> str:
 
 def scores_sql() -> str:
     """Common table expressions ``vals`` and ``scores`` over a relation ``long_rows``."""
-    size = f"least(length(value), {K.LENGTH_CAP})"
+    size = "length(value)"
     anomaly = (
         f"({math.log(K.WEIGHT_ANOMALY) + math.log(K.STOP_PROBABILITY) - K.ANOMALY_PENALTY!r}"
         f" - {size} * {math.log(K.ANOMALY_ALPHABET)!r})"
@@ -144,7 +143,7 @@ def labelled(spark: SparkSession, sf_dir: str, wanted=None) -> DataFrame:
 @check("load_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
 def load_csv(spark, sf_dir):
     """The customer table written as CSV and read back, every column as text."""
-    path = tempfile.mkdtemp(prefix="run-") + "/customer.csv"
+    path = work_folder(spark) + "/customer.csv"
     S.write_table(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
     return S.read_table(spark, path)
 
@@ -178,12 +177,9 @@ def label_encode(spark, sf_dir):
     return V.label_encode(rows, "o_orderpriority")
 
 
-FREQUENCY = [c for c in LABELLED if c[1] != "text"]
-
-
-@check("value_freq", f"SELECT col, value, count(*) AS n FROM ({rows_sql(FREQUENCY)}) r WHERE value IS NOT NULL GROUP BY col, value")
+@check("value_freq", f"SELECT col, value, count(*) AS n FROM ({rows_sql()}) r WHERE value IS NOT NULL GROUP BY col, value")
 def value_freq(spark, sf_dir):
-    rows = long_rows(spark, sf_dir, FREQUENCY)
+    rows = long_rows(spark, sf_dir)
     return rows.where(F.col("value").isNotNull()).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,12 +10,14 @@ from stringwright.catalog.registry import check, in_list
 from stringwright.catalog.repairs import SPOILED, value_counts
 from stringwright.catalog.typed import labelled, labelled_sql, long_rows, types_sql
 from stringwright import constants as K
+from stringwright.functions import text as X
 from stringwright.operators import missing as M
 from stringwright.operators import ordinality as L
 from stringwright.operators import report as R
 from stringwright.operators import types as T
 from stringwright.operators import values as V
 from stringwright.plans.cleaner import StringCleaner
+from stringwright.session import settle
 
 ORDER_TEXTS = [("fx_orders_wide", c, "") for c in ("status", "prio", "month", "d_iso", "d_eu", "done", "gender")]
 LISTS_SQL = """outl AS (SELECT col, count(*) AS n, min(value) AS a, max(value) AS z, list_sort(list(value)) AS every
@@ -159,3 +161,78 @@ def output_order(spark, sf_dir):
 def model_report(spark, sf_dir):
     df = table(spark, sf_dir, "fx_customer_wide")
     return flat(orders_cleaner(spark, sf_dir, plain_strings=True).fit(df).report())
+
+
+@check(
+    "clean_keeps_ids",
+    "SELECT c_custkey, lpad(c_custkey::VARCHAR, 22, '9') AS long_id, lpad(c_custkey::VARCHAR, 9, '0') AS padded, "
+    "c_custkey + 5 AS plain FROM customer",
+)
+def clean_keeps_ids(spark, sf_dir):
+    """Numbers written as text stay text where a number would not say the same."""
+    key = F.col("c_custkey").cast("string")
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lpad(key, 22, "9").alias("long_id"), F.lpad(key, 9, "0").alias("padded"),
+        (F.col("c_custkey") + 5).cast("string").alias("plain"),
+    )
+    return StringCleaner(encode=False).fit(df).transform(df).select("c_custkey", "long_id", "padded", "plain")
+
+
+@check(
+    "clean_long_text",
+    "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN repeat('long text ', 200) ELSE (10000 + n_nationkey)::VARCHAR END AS mixed FROM nation",
+)
+def clean_long_text(spark, sf_dir):
+    """One long text among numbers is seen at its full length and keeps the column text."""
+    key = F.col("n_nationkey")
+    mixed = F.when(key == 0, F.repeat(F.lit("long text "), 200)).otherwise((key + 10000).cast("string"))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", mixed.alias("mixed"))
+    return StringCleaner(encode=False).fit(df).transform(df).select("n_nationkey", "mixed")
+
+
+@check(
+    "impute_unseen",
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS observed, TRUE AS filled FROM customer",
+)
+def impute_unseen(spark, sf_dir):
+    """Regressions learnt without one segment leave that segment's rows as they are."""
+    hole = F.col("c_custkey") % 7 == 0
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(~hole, F.col("c_mktsegment")).alias("seg"), F.col("c_acctbal").alias("bal")
+    )
+    learnt = df.where("seg IS NULL OR seg <> 'BUILDING'")
+    plan = M.MissingPlan("regression", ["seg", "bal"])
+    plan.coded, plan.whole = ["seg"], ["seg"]
+    plan.maps = settle(M.rank_maps(learnt, plan.coded))
+    plan.start, plan.steps = M.fit_regressions(M.rank_encode(learnt, plan.coded, plan.maps).select(*plan.cols), plan.cols)
+    done = plan.transform(df)
+    return done.select("c_custkey", F.when(~hole, F.col("seg")).alias("observed"), F.col("seg").isNotNull().alias("filled"))
+
+
+@check(
+    "registered_type",
+    "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'hello%%world~~' ELSE 'SK-' || lpad((c_custkey % 9)::VARCHAR, 3, '0') END AS sku FROM customer",
+)
+def registered_type(spark, sf_dir):
+    """An anomaly in a column of a user's own type is not a plain value to be drawn anew."""
+    registry = T.TypeRegistry()
+    registry.register("sku", "SK-[0-9]{3}", 20)
+    key = F.col("c_custkey")
+    sku = F.concat(F.lit("SK-"), F.lpad((key % 9).cast("string"), 3, "0"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.when(key == 1, "hello%%world~~").otherwise(sku).alias("sku"))
+    return StringCleaner(encode=False, types=registry).fit(df).transform(df).select("c_custkey", "sku")
+
+
+@check(
+    "odd_numbers",
+    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2001 ELSE -1 END AS month, "
+    "CASE WHEN c_custkey % 4 = 3 THEN 7 ELSE -1 END AS middle, -1 AS compared FROM customer",
+)
+def odd_numbers(spark, sf_dir):
+    """Numbers of any length end no job."""
+    texts = ["12345678901 Jan 2020", "1-99999999999999999999", "$99999999999999999999", "5-9"]
+    value = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"))
+    value, none = F.col("value"), F.lit(-1)
+    found = {"month": X.month_number(value), "middle": X.range_mean(value), "compared": X.compared_number(value)}
+    return df.select("c_custkey", *[F.coalesce(x, none).alias(name) for name, x in found.items()])

@@ -36,7 +36,6 @@ WEIGHT_MISSING = 0.01
 WEIGHT_ANOMALY = 0.01
 ANOMALY_ALPHABET = 256
 ANOMALY_PENALTY = 10.0
-LENGTH_CAP = 200
 
 # Column names that hint at unordered / ordered categories.
 NOMINAL_NAMES = [
@@ -88,10 +87,7 @@ RARE_FREQUENCY = 0.025
 DISTINCT_RATIO = 0.8
 NGRAM_JACCARD = 0.75
 REPAIR_RATIO = 0.05
-CLOSE_MATCH_CUTOFF = 0.6
-CLOSE_MATCHES = 3
 KEYWORD_SHARE = 0.2
-PAIRWISE_DISTINCT = 500
 BALANCE_RATIO = 0.5
 LOW_CARDINALITY = 30
 HIGH_CARDINALITY = 100

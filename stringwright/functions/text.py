@@ -52,6 +52,11 @@ def hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(text: Column) -> Column:
+    """A 60-bit integer from the leading hex digits of an md5, as a bigint."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def day_code(value: Column) -> Column:
     return F.substring(value, 1, 2)
 
@@ -110,7 +115,7 @@ def month_number(value: Column) -> Column:
     first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
 
     def is_year(p: Column) -> Column:
-        return (F.length(p) == 4) | (p.cast("int") > days)
+        return (F.length(p) == 4) | (F.coalesce(p.try_cast("int"), F.lit(99)) > days)
 
     def tail(p: Column) -> Column:
         return F.when(F.length(p) == 4, F.substring(p, 3, 2)).otherwise(p)
@@ -144,15 +149,16 @@ LIST_SEPARATOR = " ?[+:;&'] ?"
 def range_mean(value: Column) -> Column:
     """Truncated mean of the two ends of a range, null for other texts."""
     ends = F.regexp_extract_all(value, F.lit("([0-9]+)"), 1)
-    total = F.get(ends, F.lit(0)).cast("bigint") + F.get(ends, F.lit(1)).cast("bigint")
-    return F.when(value.rlike(rf"\A(?:{RANGE_FORM})\z"), F.floor(total / 2).cast("bigint"))
+    end = lambda i: F.get(ends, F.lit(i)).try_cast("decimal(37,0)")
+    mean = F.floor((end(0) + end(1)) / 2).try_cast("bigint")
+    return F.when(value.rlike(rf"\A(?:{RANGE_FORM})\z"), mean)
 
 
 def compared_number(value: Column) -> Column:
     """The number in texts such as ``<10``, ``over 5``, ``40+`` or ``$100``, else null."""
     return F.when(
         value.rlike(rf"\A(?:{COMPARE_FORM})\z"),
-        F.regexp_replace(value, "[^0-9]", "").cast("bigint"),
+        F.regexp_replace(value, "[^0-9]", "").try_cast("bigint"),
     )
 
 

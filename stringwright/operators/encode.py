@@ -101,10 +101,14 @@ def gram_tokens(value: Column) -> Column:
 
 
 def gap_map(values: DataFrame, topics: int = K.GAP_TOPICS, seed: int = 1) -> DataFrame:
-    """``<value, code>``: topic shares of the n-gram counts of the distinct values."""
+    """``<value, code>``: topic shares of the n-gram counts of the distinct values.
+
+    The library's topic model stands in for a Gamma-Poisson factorisation. Every step sees all values,
+    and no n-gram is left out.
+    """
     tokens = values.select("value", gram_tokens(F.lower("value")).alias("grams"))
-    counted = CountVectorizer(inputCol="grams", outputCol="counts").fit(tokens).transform(tokens)
-    model = LDA(k=topics, optimizer="online", seed=seed, maxIter=20, featuresCol="counts").fit(counted)
+    counted = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=2**31 - 1).fit(tokens).transform(tokens)
+    model = LDA(k=topics, optimizer="online", seed=seed, maxIter=20, subsamplingRate=1.0, featuresCol="counts").fit(counted)
     return model.transform(counted).select("value", vector_to_array("topicDistribution").alias("code"))
 
 

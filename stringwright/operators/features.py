@@ -12,8 +12,6 @@ from stringwright import constants as K
 from stringwright.functions import text as X
 from stringwright.operators.values import join_map, rank_values, settle, sorted_codes
 
-NOUN_LIMIT = 100_000
-
 
 class Ends(NamedTuple):
     """Numbers of characters all texts of a column share at the front and at the back."""
@@ -78,20 +76,10 @@ def number_ranks(df: DataFrame, col: str) -> DataFrame:
     return rank_values(distinct.where(F.col("number").isNotNull()), [], [F.col("number"), F.col(col)], "code")
 
 
-def noun_rule(value: Column, nouns: list[str]) -> Column:
-    """Words of the text that are in the noun list, in order; the text itself if none is."""
-    words = F.regexp_extract_all(value, F.lit(r"(\p{L}+)"), 1)
-    kept = F.filter(words, lambda w: F.lower(w).isin(nouns))
-    return F.when(F.size(kept) > 0, F.concat_ws(" ", kept)).otherwise(value)
-
-
 def keep_nouns(df: DataFrame, col: str, nouns: DataFrame) -> DataFrame:
-    """Apply ``noun_rule`` with a word table ``<word>``. A list of bounded size becomes part
-    of the expression; a larger one is joined to the words of the distinct texts."""
+    """Words of every text that are in the table ``<word>``, in order; the text itself if none is.
+    The table is joined to the words of the distinct texts."""
     words = nouns.select(F.lower("word").alias("word")).distinct()
-    head = [r["word"] for r in words.limit(NOUN_LIMIT + 1).collect()]
-    if len(head) <= NOUN_LIMIT:
-        return df.withColumn(col, noun_rule(F.col(col), head))
     tokens = df.select(F.col(col).alias("_text")).distinct().select(
         "_text", F.posexplode(F.regexp_extract_all("_text", F.lit(r"(\p{L}+)"), 1)).alias("_at", "_word")
     )

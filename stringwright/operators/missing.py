@@ -444,10 +444,20 @@ class MissingPlan:
             return drop_incomplete(df, self.cols)
         if self.strategy == "mode_mean":
             return fill_nulls(df, self.fills)
-        coded = rank_encode(df, self.coded, self.maps)
+        # what was observed rides along and comes back as it was; a text that has no code is only
+        # left out of the regressions
+        kept = df.withColumn("_seen", F.struct(*[F.col(c) for c in self.cols]))
+        coded = rank_encode(kept, self.coded, self.maps)
         filled = apply_regressions(coded, self.cols, self.start, self.steps, self.whole)
         decoded = decode_nearest(filled, self.coded, self.maps)
-        return decoded.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+        return decoded.select(
+            *[
+                F.coalesce(F.col(f"_seen.{c}"), F.col(c).cast(df.schema[c].dataType)).alias(c)
+                if c in self.cols
+                else F.col(c)
+                for c in df.columns
+            ]
+        )
 
 
 def plan_missing(df: DataFrame, types: dict[str, str], cols: list[str] | None = None) -> MissingPlan:

@@ -104,12 +104,11 @@ def keyword_flag(values: DataFrame) -> DataFrame:
     return values.groupBy("col").agg((share >= K.KEYWORD_SHARE).cast("int").alias("key_ord"))
 
 
-def common_substring(values: DataFrame) -> DataFrame:
+def common_substring(values: DataFrame, most_distinct: int | None = None) -> DataFrame:
     """``<col, common>``: 1 if two distinct texts share more than three characters in a row.
-    Nearly unique columns and those with many distinct texts are not looked at and get 0."""
-    counts = column_counts(values).withColumn(
-        "open", (F.col("ratio") <= K.DISTINCT_RATIO) & (F.col("distinct_values") <= K.PAIRWISE_DISTINCT)
-    )
+    Nearly unique columns get 0, as do those of more than ``most_distinct`` texts if that is given."""
+    few = F.lit(True) if most_distinct is None else F.col("distinct_values") <= most_distinct
+    counts = column_counts(values).withColumn("open", (F.col("ratio") <= K.DISTINCT_RATIO) & few)
     looked = values.join(F.broadcast(counts.where("open").select("col")), "col", "left_semi")
     grams = looked.select("col", F.explode(X.char_ngrams(F.col("value"), 4)).alias("gram"))
     shared = (
@@ -221,15 +220,14 @@ def split_train_test(features: DataFrame, share: float = 0.7, seed: int = 1) ->
 
 
 def fold_numbers(features: DataFrame, folds: int | None = None) -> DataFrame:
-    """Add ``fold``: one per row up to 50 rows (leave one out), ten folds beyond."""
-    rows = features.count()
-    folds = folds or (rows if rows <= 50 else 10)
+    """Add ``fold``: one per row (leave one out), or as many as asked for."""
+    folds = folds or features.count()
     order = [F.md5(F.col("col").cast("binary")), F.col("col")]
     return rank_values(features, [], order, "fold").withColumn("fold", F.col("fold") % folds)
 
 
 def leave_one_out(features: DataFrame, folds: int | None = None, parallel: int = 4, **params) -> DataFrame:
-    """Predictions of every row by a model that has not seen its fold."""
+    """Predictions of every row by a model that has not seen it, or with ``folds`` none of its fold."""
     params = {"depth": 2, **params}
     numbered = settle(fold_numbers(features, folds))
     ids = sorted(r["fold"] for r in numbered.select("fold").distinct().collect())

@@ -8,16 +8,15 @@ itself repaired is never a target, so repairs do not chain.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
 from stringwright.functions import text as X
+from stringwright.operators.types import DEFAULT_TYPES, TypeRegistry
 from stringwright.operators.values import column_totals, join_map, running_total, small_enough
 from stringwright.session import settle
 
@@ -41,11 +40,11 @@ def demoted_columns(values: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_candidates(labelled: DataFrame) -> DataFrame:
+def anomaly_candidates(labelled: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> DataFrame:
     """Anomalies worth repairing, from ``<col, value, n, type, label>``: rare ones, and all
     of them in columns of a plain data type."""
     known = labelled.join(F.broadcast(column_totals(labelled)), "col")
-    plain = ~F.col("type").isin(K.FEATURE_TYPES) & (F.col("type") != "string")
+    plain = ~F.col("type").isin(registry.features) & (F.col("type") != "string")
     return known.where(
         (F.col("label") == "anomaly")
         & (F.col("type") != "sentence")
@@ -53,10 +52,12 @@ def anomaly_candidates(labelled: DataFrame) -> DataFrame:
     ).select("col", "value", "n", "type")
 
 
-def infrequent_candidates(labelled: DataFrame, plain_strings: bool = False) -> DataFrame:
+def infrequent_candidates(
+    labelled: DataFrame, plain_strings: bool = False, registry: TypeRegistry = DEFAULT_TYPES
+) -> DataFrame:
     """Rare values of anomaly-free columns of a string-feature type (optionally also of
     plain text columns)."""
-    kinds = [t for t in K.FEATURE_TYPES if t != "sentence"] + (["string"] if plain_strings else [])
+    kinds = [t for t in registry.features if t != "sentence"] + (["string"] if plain_strings else [])
     spoiled = labelled.where(F.col("label") == "anomaly").select("col").distinct()
     known = labelled.join(F.broadcast(column_totals(labelled)), "col")
     return (
@@ -90,7 +91,7 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
     ordered = (
         single.join(frequency, ["col", "_gram"]).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
     )
-    length = F.col("_size") - F.ceil(F.col("_size") * F.lit(threshold)).cast("int") + 1
+    length = F.col("_size") - F.ceil(F.col("_size") * F.lit(threshold) - 1e-9).cast("int") + 1
 
     def names(entries: Column) -> Column:
         return F.transform(entries, lambda g: g["_gram"])
@@ -188,7 +189,7 @@ def partner_candidates(
     found = _verified(old.join(new, ["col", "_a", "_b"]), threshold, allowed)
 
     # Wide grams alone (with one more) can only reach the threshold where there are enough.
-    least = F.ceil(F.col("_size") * F.lit(threshold)).cast("int")
+    least = F.ceil(F.col("_size") * F.lit(threshold) - 1e-9).cast("int")
     nearly = listed.where(F.size("_wide") + 1 >= least)
     best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"), F.col("n"), F.col("_grams"))).alias("b")
     rep = ["b.value", "b.n", "b._grams"]
@@ -311,43 +312,6 @@ def far_rarer(n_old: Column, n_new: Column, threshold: float = K.REPAIR_RATIO) -
     return n_old / n_new < threshold
 
 
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def close_matches(
-    values: DataFrame,
-    suspect: Column,
-    cutoff: float = K.CLOSE_MATCH_CUTOFF,
-    top: int = K.CLOSE_MATCHES,
-    threshold: float = K.NGRAM_JACCARD,
-) -> DataFrame:
-    """Up to three sequence-similar values per suspect, the suspect itself among them.
-
-    The sequence ratio is computed in Arrow batches, and only for the candidate partners by
-    n-grams: repairs never use any other pair.
-    """
-    ratio = F.pandas_udf(sequence_ratio, "double")
-    marked = values.withColumn("_is", suspect)
-    found = partner_candidates(marked, threshold)
-    both = found.select("col", "old", "new").unionByName(
-        found.select("col", F.col("new").alias("old"), F.col("old").alias("new"))
-    )
-    mine = marked.where("_is").select("col", F.col("value").alias("old"))
-    pairs = both.distinct().join(mine, ["col", "old"], "left_semi")
-    scored = pairs.withColumn("ratio", ratio("new", "old")).unionByName(
-        mine.select("col", "old", F.col("old").alias("new"), F.lit(1.0).alias("ratio"))
-    )
-    # Only the best three of each suspect are kept while aggregating, on both sides of the shuffle.
-    order = Window.partitionBy("col", "old").orderBy(F.desc("ratio"), F.desc("new"))
-    return (
-        scored.where(F.col("ratio") >= cutoff)
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= top)
-        .select("col", F.col("old").alias("value"), F.col("new").alias("match"), "ratio", "place")
-    )
-
-
 def without_chains(repairs: DataFrame) -> DataFrame:
     """Drop repairs whose target is itself repaired."""
     olds = repairs.select("col", F.col("old").alias("new"))
@@ -359,6 +323,7 @@ def repair_pairs(
     plain_strings: bool = False,
     drop_last: int = 0,
     heavy: int = HEAVY_GRAM,
+    registry: TypeRegistry = DEFAULT_TYPES,
 ) -> DataFrame:
     """``<col, old, new, n_old, n_new>`` for all columns of ``<col, value, n, type, label>``.
 
@@ -372,7 +337,7 @@ def repair_pairs(
     )
     rare = is_rare(F.col("n"), F.col("total"), F.col("distinct_values"))
     is_anomaly = F.col("label") == "anomaly"
-    feature = F.col("type").isin([t for t in K.FEATURE_TYPES if t != "sentence"])
+    feature = F.col("type").isin([t for t in registry.features if t != "sentence"])
     gate = feature | (F.col("type") == "string") if plain_strings else feature
     textual = feature | (F.col("type") == "string")
 
@@ -384,17 +349,23 @@ def repair_pairs(
         accept=far_rarer,
         heavy=heavy,
     )
-    plain = ~F.col("type").isin(K.FEATURE_TYPES) & (F.col("type") != "string")
+    plain = ~F.col("type").isin(registry.features) & (F.col("type") != "string")
     by_type = partner_candidates(
         known.where(plain), drop_last=drop_last, suspect=is_anomaly, target=~is_anomaly, heavy=heavy
     )
     return without_chains(best_partner(by_ratio.unionByName(by_type)))
 
 
-def random_fill(labelled: DataFrame, repaired: DataFrame, seed: int = 0, rows_per_task: int = 1_000_000) -> DataFrame:
+def random_fill(
+    labelled: DataFrame,
+    repaired: DataFrame,
+    seed: int = 0,
+    rows_per_task: int = 1_000_000,
+    registry: TypeRegistry = DEFAULT_TYPES,
+) -> DataFrame:
     """``<col, old, new>`` for anomalies of plain data types that no repair covers: a clean
     value of the column drawn with its frequency as weight, fixed by the seed."""
-    plain = ~F.col("type").isin(K.FEATURE_TYPES) & (F.col("type") != "string")
+    plain = ~F.col("type").isin(registry.features) & (F.col("type") != "string")
     clean = labelled.where(plain & (F.col("label") == "normal")).select("col", "value", "n")
     ends = running_total(clean, ["col"], [F.col("value")], F.col("n"), "upto", rows_per_task)
     totals = clean.groupBy("col").agg(F.sum("n").alias("clean_rows"))
@@ -403,7 +374,7 @@ def random_fill(labelled: DataFrame, repaired: DataFrame, seed: int = 0, rows_pe
         .select("col", F.col("value").alias("old"))
         .join(repaired.select("col", "old"), ["col", "old"], "left_anti")
     )
-    draw = F.pmod(X.hash32(F.concat_ws("|", F.lit(str(seed)), "col", "old")), F.col("clean_rows"))
+    draw = F.pmod(X.hash60(F.concat_ws("|", F.lit(str(seed)), "col", "old")), F.col("clean_rows"))
     draws = left.join(F.broadcast(totals), "col").withColumn("draw", draw)
     return _interval_of(draws, ends)
 

@@ -59,7 +59,7 @@ def log_add(a: Column, b: Column) -> Column:
 
 
 def text_shapes(rows: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> DataFrame:
-    """Count rows ``<col, value>`` per column, capped length, accepted types and NA flag.
+    """Count rows ``<col, value>`` per column, length, accepted types and NA flag.
 
     Short texts are counted first, so that recognisers see each distinct one once; long
     texts are reduced to their shape where they lie and never travel.
@@ -69,7 +69,7 @@ def text_shapes(rows: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> Data
 
     def shape(v: Column) -> Column:
         return F.struct(
-            F.least(F.length(v), F.lit(K.LENGTH_CAP)).alias("len"),
+            F.length(v).alias("len"),
             is_missing_token(v).alias("missing"),
             F.array(*[registry.tests[t](v) for t in registry.types]).alias("accepted"),
         )

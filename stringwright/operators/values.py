@@ -18,6 +18,18 @@ HOT_KEYS = 1000
 HOT_SAMPLE = 0.01
 ROWS_PER_TASK = 1_000_000
 
+#: Data types of numbers written as text.
+TEXT_NUMBERS = {"integer": "bigint", "float": "double"}
+
+
+def survives(value: Column, kind: str) -> Column:
+    """Whether a text turned into a number still says what it said: a whole number written as it
+    would be printed, a decimal one of up to fifteen digits."""
+    if kind == "bigint":
+        return value.try_cast("bigint").cast("string") == value
+    digits = F.length(F.regexp_replace(value, r"[^0-9]|\A[^1-9]*", ""))
+    return value.try_cast("double").isNotNull() & (digits <= 15)
+
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
@@ -58,11 +70,6 @@ def column_totals(values: DataFrame) -> DataFrame:
     )
 
 
-def with_totals(values: DataFrame) -> DataFrame:
-    """Value table with the totals of its column; one row per column is broadcast."""
-    return values.join(F.broadcast(column_totals(values)), "col")
-
-
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table, measured row by row, fits the broadcast limit."""
     size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 16)).first()[0]

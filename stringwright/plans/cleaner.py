@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
@@ -35,6 +35,8 @@ class StringCleaner:
     word_vectors     table ``<word, vec>`` for the ordinality features
     ordinality_model fitted classifier; without one a rule on names and words decides
     plain_strings    also repair misspellings in anomaly-free plain text columns
+    strict_numbers   a later text that is no number in a column learnt as numbers ends the job; off, it
+                     becomes null
     compat_ngrams    leave out the last two 3-grams of every value
     compat_xyz       take coordinates as radians
     """
@@ -54,6 +56,7 @@ class StringCleaner:
         vector_dims: int = K.EMBEDDING_DIMS,
         ordinality_model: PipelineModel | None = None,
         plain_strings: bool = False,
+        strict_numbers: bool = True,
         compat_ngrams: bool = False,
         compat_xyz: bool = False,
         seed: int = 0,
@@ -68,6 +71,7 @@ class StringCleaner:
         self.vector_dims = vector_dims
         self.ordinality_model = ordinality_model
         self.plain_strings = plain_strings
+        self.strict_numbers = strict_numbers
         self.drop_last = 2 if compat_ngrams else 0
         self.seed = seed
         self.registry = types
@@ -146,10 +150,16 @@ class StringCleaner:
         for row in demoted.collect():
             model.types[row["col"]] = "string"
         open_rows = counted.join(F.broadcast(demoted.select("col")), "col", "left_anti")
-        pairs = settle(O.repair_pairs(open_rows, self.plain_strings, self.drop_last))
-        fills = O.random_fill(open_rows, pairs, self.seed)
+        pairs = settle(O.repair_pairs(open_rows, self.plain_strings, self.drop_last, registry=self.registry))
+        fills = O.random_fill(open_rows, pairs, self.seed, registry=self.registry)
         model.repairs = settle(pairs.select("col", "old", "new").unionByName(fills))
         model.repaired_cols = sorted(r["col"] for r in model.repairs.select("col").distinct().collect())
+        number = F.when(F.col("type") == "integer", V.survives(F.col("value"), "bigint")).otherwise(
+            V.survives(F.col("value"), "double")
+        )
+        typed = counted.where(F.col("type").isin(*V.TEXT_NUMBERS) & (F.col("label") == "normal"))
+        lost = typed.where(~F.coalesce(number, F.lit(False))).select("col").distinct()
+        model.kept_texts = {r["col"] for r in lost.collect()}
 
     def _fit_features(self, model: StringCleanerModel, repaired: DataFrame) -> None:
         groups = T.route_columns(model.types, self.registry)
@@ -197,6 +207,7 @@ class StringCleanerModel:
         self.inputs: DataFrame | None = None
         self.repairs: DataFrame | None = None
         self.repaired_cols: list[str] = []
+        self.kept_texts: set[str] = set()
         self.groups: dict[str, list[str]] = {}
         self.rules: dict[str, P.FeatureRule] = {}
         self.predictions: DataFrame | None = None
@@ -214,13 +225,20 @@ class StringCleanerModel:
         return self._arrange(table)
 
     def _repair(self, df: DataFrame) -> DataFrame:
-        """Apply repairs, then give columns of numbers written as text their type."""
+        """Apply repairs, then give columns of numbers written as text their type, if all normal texts
+        that were learnt survive it. A later text that is no such number must not vanish unseen."""
+
+        def number(c: str) -> Column:
+            kind = V.TEXT_NUMBERS[self.types[c]]
+            return F.trim(c).cast(kind) if self.settings.strict_numbers else F.trim(c).try_cast(kind)
+
         table = O.apply_repairs(df, self.repairs, self.repaired_cols)
-        kinds = {"integer": "bigint", "float": "double"}
         return table.select(
             *[
-                F.col(c).try_cast(kinds[self.types[c]]).alias(c)
-                if self.types.get(c) in kinds and table.schema[c].dataType.typeName() == "string"
+                number(c).alias(c)
+                if self.types.get(c) in V.TEXT_NUMBERS
+                and c not in self.kept_texts
+                and table.schema[c].dataType.typeName() == "string"
                 else F.col(c)
                 for c in table.columns
             ]
