@@ -28,7 +28,7 @@ MAGIC = b"RANKVB01"
 #: Ids in a file, beyond which the next one begins; a longer document makes a file of its own.
 FILE_IDS = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 #: Lengths of the four ids of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -40,6 +40,12 @@ _LATIN_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7
 # Fixed value: the pieces of the vocabulary, for Latin-1 in lower case.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xff]+|[0-9]|[^\sa-z0-9\xc0-\xff]+").findall
 
+#: The letter that stands for every byte in a byte-level vocabulary: itself if printable, else the next
+#: one from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_LETTERS = {b: 256 + k for k, b in enumerate(_OTHERS)}
+
 _encoders: dict[str, Callable[[str | None], bytes]] = {}
 
 
@@ -53,8 +59,9 @@ def id_type(path: str) -> str:
 def encoder(path: str, kind: str) -> Callable[[str | None], bytes]:
     """Ids of a whole text as bytes of type ``kind``.
 
-    The vocabulary drops white space and forms no token across it, so a text's ids are its words' ids
-    in order; each different word, or piece of a Latin-1 text, is encoded once by a worker.
+    The vocabulary drops white space and forms no token across it, so the ids of a Latin-1 text are its
+    words' ids in order; each different word is cut and each different piece encoded once by a worker.
+    Other texts are encoded as they are.
     """
     if path in _encoders:
         return _encoders[path]
@@ -62,19 +69,20 @@ def encoder(path: str, kind: str) -> Callable[[str | None], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
     code = "H" if kind == "<u2" else "I"
-    known: dict[str, dict[bytes, bytes]] = {"latin-1": {}, "utf-8": {}}
+    known: dict[bytes, bytes] = {}
+    pieces: dict[bytes, bytes] = {}
 
-    def join(words: list[bytes], letters: str) -> bytes:
-        seen = known[letters]
-        new = list(set(words).difference(seen))
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = list(set(words))
-            batch = tokenizer.encode_batch_fast([w.decode(letters) for w in new], add_special_tokens=False)
-            seen.update((w, array(code, e.ids).tobytes()) for w, e in zip(new, batch))
-        return b"".join(map(seen.__getitem__, words))
+    def of_piece(piece: bytes) -> bytes:
+        """Ids of one piece of a Latin-1 text: its UTF-8 bytes, by their letters, merged by the model."""
+        if piece not in pieces:
+            letters = piece.decode("latin-1").encode().decode("latin-1").translate(_LETTERS)
+            pieces[piece] = array(code, [t.id for t in model.tokenize(letters)]).tobytes()
+        return pieces[piece]
+
+    def of_word(word: bytes) -> bytes:
+        return b"".join(map(of_piece, _PIECES(word)))
 
     def encode(text: str | None) -> bytes:
         if not text:
@@ -82,10 +90,19 @@ def encoder(path: str, kind: str) -> Callable[[str | None], bytes]:
         try:
             latin = text.encode("latin-1")
         except UnicodeEncodeError:
-            latin = b""
-        if latin and not latin.translate(None, _LATIN_OK) and b"<|" not in latin:
-            return join(_PIECES(latin.translate(_LATIN_LOWER)), "latin-1")
-        return join(text.encode().split(), "utf-8")
+            latin = b"\xa0"
+        if latin.translate(None, _LATIN_OK) or b"<|" in latin:
+            return array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        words = latin.translate(_LATIN_LOWER).split()
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = set(words)
+            if len(pieces) > REMEMBERED:
+                pieces.clear()
+            known.update((w, of_word(w)) for w in new)
+        return b"".join(map(known.__getitem__, words))
 
     _encoders[path] = encode
     return encode
