@@ -9,12 +9,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stringwright.llm.token_files import LETTERS
+
 #: Pieces whose tokens a worker remembers.
 REMEMBERED = 500_000
 RULES = ("first", "last", "most", "share")
@@ -61,8 +64,19 @@ def cutter(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    model = tokenizer.model
     known = Known()
 
+    def spans_of(piece: str) -> list[tuple[int, int]]:
+        """Character spans of a piece's tokens; one that holds part of a character spans it."""
+        body = piece.encode()
+        ends = list(accumulate(len(t.value) for t in model.tokenize(body.decode("latin-1").translate(LETTERS))))
+        spans = zip([0, *ends], ends)
+        if len(body) == len(piece):
+            return list(spans)
+        owner = [k for k, c in enumerate(piece) for _ in c.encode()]
+        return [(owner[a], owner[b - 1] + 1) for a, b in spans]
+
     def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
         nonlocal known
         try:
@@ -78,8 +92,7 @@ def cutter(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
             known = Known()
             new = list(set(pieces))
         if new:
-            batch = tokenizer.encode_batch([p.decode("latin-1") for p in new], add_special_tokens=False)
-            known.add(new, [e.offsets for e in batch])
+            known.add(new, [spans_of(p.decode("latin-1")) for p in new])
         which = np.fromiter(map(known.index.__getitem__, pieces), np.int64, len(pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         first = known.firsts[which]

@@ -44,7 +44,7 @@ _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xff]+|[0-9]|[^\sa-z0-9
 #: one from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-_LETTERS = {b: 256 + k for k, b in enumerate(_OTHERS)}
+LETTERS = {b: 256 + k for k, b in enumerate(_OTHERS)}
 
 _encoders: dict[str, Callable[[str | None], bytes]] = {}
 
@@ -77,7 +77,7 @@ def encoder(path: str, kind: str) -> Callable[[str | None], bytes]:
     def of_piece(piece: bytes) -> bytes:
         """Ids of one piece of a Latin-1 text: its UTF-8 bytes, by their letters, merged by the model."""
         if piece not in pieces:
-            letters = piece.decode("latin-1").encode().decode("latin-1").translate(_LETTERS)
+            letters = piece.decode("latin-1").encode().decode("latin-1").translate(LETTERS)
             pieces[piece] = array(code, [t.id for t in model.tokenize(letters)]).tobytes()
         return pieces[piece]
 
