@@ -73,7 +73,8 @@ def number_ranks(df: DataFrame, col: str) -> DataFrame:
     texts without a number have no position."""
     number = F.coalesce(X.range_mean(F.col(col)), X.compared_number(F.col(col)))
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("number", number)
-    return rank_values(distinct.where(F.col("number").isNotNull()), [], [F.col("number"), F.col(col)], "code")
+    numbered = settle(distinct.where(F.col("number").isNotNull()))
+    return rank_values(numbered, [], [F.col("number"), F.col(col)], "code")
 
 
 def keep_nouns(df: DataFrame, col: str, nouns: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ class StringCleaner:
         model = StringCleanerModel(self)
         table = M.nan_to_null(V.normalise_spaces(df))
         model.empty = [c for c in V.empty_columns(table) if c != self.target]
-        table = table.drop(*model.empty)
+        # written once: every later step reads the normalised table, not the source
+        table = settle(table.drop(*model.empty))
         self._fit_target(model, table)
         body = [c for c in table.columns if c != self.target]
         inputs = table.select(*body)
