@@ -26,10 +26,10 @@ ORDER = 5
 #: Nodes of the trie (context and next byte) that the model keeps of each order: the size of the model.
 NODES = 1 << 20
 #: Most words whose counts go to every task; the others are joined. Only the route differs.
-COMMON = 1 << 20
-#: Bytes of text handled at once, and different keys that a task holds.
-SLICE = 4 << 20
-PENDING = 6 << 20
+COMMON = 1 << 19
+#: Bytes of text counted and scored at once, and different keys that a task holds.
+COUNTED, SCORED = 1 << 20, 2 << 20
+PENDING = 2 << 20
 TEXT_START = 10
 
 
@@ -96,7 +96,7 @@ def gather(training: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["word", "key", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), SLICE):
+            for _, _, data, offsets in text_slices(batch.column(0), COUNTED):
                 out, ends = stream(data, offsets)
                 hashes = np.append(token_hashes(data, offsets)[0], np.zeros(len(offsets) - 1, U))
                 for word, values in ((False, grams(out, ends)), (True, hashes)):
@@ -268,7 +268,7 @@ def language_scores(docs: DataFrame, held_out: Column, order: int = ORDER, nodes
         gain = np.log10(n + 1.0)
         sums = lambda x, firsts: np.diff(np.concatenate([[0.0], np.cumsum(x)])[firsts])
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1), SLICE):
+            for a, b, data, offsets in text_slices(batch.column(1), SCORED):
                 out, ends = stream(data, offsets)
                 values, which = np.unique(grams(out, ends, model.order), return_inverse=True)
                 by_byte = model.log10(values)[which]
