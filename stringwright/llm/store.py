@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its columns, that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +51,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers that were not started with it on their path."""
+    """Give the package to Python workers that were not started with it on their path, and see that no
+    more than ``BATCH_ROWS`` rows, which hold whole texts, travel to them at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
