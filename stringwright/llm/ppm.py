@@ -23,8 +23,15 @@ from stringwright.llm.kernel import LOWER, U, prefix_sums, span_hash, text_slice
 from stringwright.llm.store import settle
 
 ORDER = 5
-#: Nodes of the trie (context and next byte) that the model keeps of each order: the size of the model.
+#: Most nodes (context and next byte) of an order that go to every task; longer contexts are dealt out by
+#: their endings. Only the route differs.
 NODES = 1 << 20
+#: Grams that a task of longer contexts has on average.
+DEALT = 1 << 19
+#: Most grams whose scores go to every task; the others are joined. Only the route differs.
+GRAMS = 1 << 21
+#: Scores of bytes are multiples of this, so that their sums are exact in any order.
+GRID = 2.0**-24
 #: Most words whose counts go to every task; the others are joined. Only the route differs.
 COMMON = 1 << 19
 #: Bytes of text counted and scored at once, and different keys that a task holds.
@@ -74,11 +81,16 @@ def grams(out: np.ndarray, text_ends: np.ndarray, order: int = ORDER) -> np.ndar
     return (value << U(8)) | out
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """(word, key, n): of all training texts (text) the grams and, with ``word`` true, the word hashes.
+def gather(docs: DataFrame) -> DataFrame:
+    """(word, key, n, m): of all texts (text) the grams and, with ``word`` true, the word hashes.
 
-    Tasks sum up what they read; a text's end counts as word 0.
+    ``n`` counts the rows to learn from, ``m`` all of them; with a column ``held_out``, rows for which it
+    is not false are not learnt from, and their words are left out. Tasks sum up what they read; a text's
+    end counts as word 0.
     """
+    if "held_out" not in docs.columns:
+        docs = docs.withColumn("held_out", F.lit(False))
+    docs = docs.select("text", F.coalesce("held_out", F.lit(True)))
 
     def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = (np.concatenate(x) for x in zip(*parts))
@@ -86,35 +98,42 @@ def gather(training: DataFrame) -> DataFrame:
         return keys, np.bincount(which, weights=n).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
-        pending = {False: 0, True: 0}
+        kinds = [(False, True), (False, False), (True, True)]  # word, learnt
+        held: dict[tuple[bool, bool], list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in kinds}
+        pending = dict.fromkeys(kinds, 0)
 
-        def rows(word: bool) -> Iterator[pa.RecordBatch]:
-            keys, n = merge(held[word])
-            held[word], pending[word] = [], 0
-            arrays = [pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(arrays, ["word", "key", "n"])
+        def rows(kind: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
+            keys, n = merge(held[kind])
+            held[kind], pending[kind] = [], 0
+            arrays = [pa.array(np.full(len(keys), kind[0])), pa.array(keys.view(np.int64)), pa.array(n * kind[1]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "key", "n", "m"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), COUNTED):
+            away = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, data, offsets in text_slices(batch.column(0), COUNTED):
                 out, ends = stream(data, offsets)
-                hashes = np.append(token_hashes(data, offsets)[0], np.zeros(len(offsets) - 1, U))
-                for word, values in ((False, grams(out, ends)), (True, hashes)):
-                    held[word].append(np.unique(values, return_counts=True))
-                    pending[word] += len(held[word][-1][0])
-                    if pending[word] > PENDING:
-                        held[word] = [merge(held[word])]
+                hashes, firsts = token_hashes(data, offsets)
+                values = grams(out, ends)
+                at = np.repeat(away[a:b], np.diff(np.concatenate([[0], ends])))
+                learnt = np.append(hashes[~np.repeat(away[a:b], np.diff(firsts))], np.zeros((~away[a:b]).sum(), U))
+                for kind, found in zip(kinds, (values[~at], values[at], learnt)):
+                    if not len(found):
+                        continue
+                    held[kind].append(np.unique(found, return_counts=True))
+                    pending[kind] += len(held[kind][-1][0])
+                    if pending[kind] > PENDING:
+                        held[kind] = [merge(held[kind])]
                         # what does not shrink is passed on
-                        if len(held[word][0][0]) > PENDING // 2:
-                            yield from rows(word)
+                        if len(held[kind][0][0]) > PENDING // 2:
+                            yield from rows(kind)
                         else:
-                            pending[word] = len(held[word][0][0])
-        for word in (False, True):
-            if held[word]:
-                yield from rows(word)
+                            pending[kind] = len(held[kind][0][0])
+        for kind in kinds:
+            if held[kind]:
+                yield from rows(kind)
 
-    parts = training.select("text").mapInArrow(count, "word boolean, key long, n long")
-    return parts.groupBy("word", "key").agg(F.sum("n").alias("n"))
+    parts = docs.mapInArrow(count, "word boolean, key long, n long, m long")
+    return parts.groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,31 +233,87 @@ class Trie:
         return out
 
 
+def _low(order: int) -> int:
+    """The bytes of a node of ``order``: its context and its next byte."""
+    return (1 << (8 * (order + 1))) - 1
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted nodes of the orders ``first`` to ``last``, summed up from nodes that are at least as long."""
+    out = []
+    for k in range(last, first - 1, -1):
+        keys, which = np.unique(keys & U(_low(k)), return_inverse=True)
+        n = np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
+        out.append((keys, n))
+    return out[::-1]
+
+
+def _trie(nodes: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+    while len(nodes) > 1 and not len(nodes[-1][0]):
+        nodes = nodes[:-1]
+    return Trie(nodes)
+
+
+def shared_levels(grams_: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the orders 0, 1, ... of all counted grams (key, n), as far as an order has no more than ``nodes``.
+
+    Orders 0 and 1 (65,536 nodes at most) are always among them. Rows reach the driver of one order only.
+    """
+    rows = grams_.where("n > 0").select("key", "n")
+    for k in range(order, -1, -1):
+        if k < ORDER:
+            cut = F.col("key").bitwiseAND(F.lit(_low(k)))
+            rows = settle(rows.groupBy(cut.alias("key")).agg(F.sum("n").alias("n")), f"order{k}")
+        if k <= 1 or rows.count() <= nodes:
+            table = rows.toArrow()
+            return _levels(table.column("key").to_numpy().view(U), table.column("n").to_numpy(), 0, k)
+    raise ValueError("order below 0")
+
+
 def train(grams_: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of all counted grams (key, n).
+    """The trie of all counted grams (key, n), of the orders that ``shared_levels`` gives."""
+    return _trie(shared_levels(grams_, order, nodes))
+
+
+def gram_scores(grams_: DataFrame, order: int = ORDER, nodes: int = NODES) -> DataFrame:
+    """(key, n, score) of every gram of ``order`` in ``grams_`` (key, n, m): its occurrences ``m`` as ``n`` and
+    log10 probability under the whole model.
 
-    Counts of every order are sums over all texts. Orders of more than ``nodes`` nodes keep the
-    commonest, each with the shorter node it hangs on; so what reaches the driver is bounded by
-    ``nodes`` times ``order`` rows whatever the size of the corpus.
+    The shared orders go to every task. What a longer context is asked for depends on contexts with the
+    same ending alone, so grams are dealt out by the shortest ending that is not shared, and each task
+    has the whole trie above its endings.
     """
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for k in range(order + 1):
-        cut = F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-        rows = grams_.groupBy(cut.alias("key")).agg(F.sum("n").alias("n"))
-        if k >= 2:  # of two bytes there are 65,536 at most
-            rows = commonest(settle(rows, f"order{k}"), nodes)
-        table = rows.select("key", "n").toArrow()
-        keys = table.column("key").to_numpy().view(U)
-        n = table.column("n").to_numpy()
-        if k and len(keys):
-            shorter = keys & U((1 << (8 * k)) - 1)
-            inside = np.isin(shorter, kept[-1][0])
-            keys, n = keys[inside], n[inside]
-        by_key = np.argsort(keys)
-        kept.append((keys[by_key], n[by_key]))
-    while len(kept) > 1 and not len(kept[-1][0]):
-        kept.pop()
-    return Trie(kept)
+    if order < ORDER:
+        cut = F.col("key").bitwiseAND(F.lit(_low(order)))
+        grams_ = settle(grams_.groupBy(cut.alias("key")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "cut")
+    base = shared_levels(grams_, order, nodes)
+    held = grams_.sparkSession.sparkContext.broadcast(base)
+    rows = grams_.select("key", "n", "m")
+    whole = len(base) > order
+    tasks = max(1, math.ceil(rows.count() / DEALT))
+    if whole:
+        rows = rows.coalesce(tasks)
+    else:
+        # the ending in base + 1 bytes, before the next byte
+        ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(_low(len(base) - 1)))
+        rows = rows.repartition(tasks, ending)
+
+    def found(trie: Trie, keys: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        scores = np.round(trie.log10(keys) / GRID) * GRID
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(m), pa.array(scores)], ["key", "n", "score"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = held.value
+        parts = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches if b.num_rows]
+        if parts:
+            keys, n, m = (np.concatenate(x) for x in zip(*parts))
+            keys, learnt = keys.view(U), n > 0
+            longer = [] if whole else _levels(keys[learnt], n[learnt], len(shared), order)
+            trie = _trie(shared + longer)
+            for k in range(0, len(keys), DEALT):
+                yield found(trie, keys[k : k + DEALT], m[k : k + DEALT])
+
+    return rows.mapInArrow(score, "key long, n long, score double")
 
 
 def language_scores(docs: DataFrame, held_out: Column, order: int = ORDER, nodes: int = NODES) -> DataFrame:
@@ -246,43 +321,62 @@ def language_scores(docs: DataFrame, held_out: Column, order: int = ORDER, nodes
 
     Rows for which ``held_out`` is false are learnt from. ``base_score`` is the unigram score with one
     added to every count; words are told apart by a 64-bit hash. Counts of the commonest ``COMMON``
-    words go to every task, those of all others are joined. ``score`` is the trie's log10 probability.
+    words go to every task, those of all others are joined. ``score`` is the trie's log10 probability; every
+    distinct gram is scored once by the whole model, then grams are looked up as words are.
 
     Null and empty texts are an end alone. With nothing to learn from every byte costs log10 256. A null
     doc_id is passed on; repeated rows count and are answered each; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    gathered = settle(gather(docs.where("NOT held_out")), "gathered")
-    trie = train(gathered.where("NOT word"), order, nodes)
+    gathered = settle(gather(docs), "gathered")
+    of_grams = settle(gram_scores(gathered.where("NOT word"), order, nodes), "scores")
     word_counts = gathered.where("word").select("key", "n")
     total = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     each = math.log10(total[0] + total[1] + 1)
-    table = commonest(word_counts, COMMON).toArrow()
-    known = table.column("key").to_numpy().view(U)
-    by_key = np.argsort(known)
-    shared = spark.sparkContext.broadcast((trie, known[by_key], table.column("n").to_numpy()[by_key]))
+
+    def sorted_table(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        table = rows.select("key", value).toArrow()
+        keys = table.column("key").to_numpy().view(U)
+        by_key = np.argsort(keys)
+        return keys[by_key], table.column(value).to_numpy()[by_key]
+
+    few = of_grams if of_grams.count() <= GRAMS else commonest(of_grams, GRAMS)
+    shared = spark.sparkContext.broadcast((*sorted_table(few, "score"), *sorted_table(commonest(word_counts, COMMON), "n")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, n = shared.value
+        gram_keys, gram_scores_, keys, n = shared.value
         gain = np.log10(n + 1.0)
         sums = lambda x, firsts: np.diff(np.concatenate([[0.0], np.cumsum(x)])[firsts])
+
+        def looked_up(distinct: np.ndarray, among: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which are ``among`` the shared keys, and their values or 0."""
+            if not len(among):
+                return np.zeros(len(distinct), bool), np.zeros(len(distinct))
+            spot = np.minimum(np.searchsorted(among, distinct), len(among) - 1)
+            there = among[spot] == distinct
+            return there, np.where(there, values[spot], 0.0)
+
+        def lists(values: np.ndarray, rare: np.ndarray, firsts: np.ndarray) -> pa.ListArray:
+            """Per text the values that are not shared."""
+            at = np.concatenate([[0], np.cumsum(rare)])[firsts]
+            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values[rare].view(np.int64)))
+
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1), SCORED):
                 out, ends = stream(data, offsets)
-                values, which = np.unique(grams(out, ends, model.order), return_inverse=True)
-                by_byte = model.log10(values)[which]
+                values, which = np.unique(grams(out, ends, order), return_inverse=True)
+                ends = np.concatenate([[0], ends])
+                held, by_gram = looked_up(values, gram_keys, gram_scores_)
+                more_grams = lists(values[which], ~held[which], ends)
+                by_byte = by_gram[which]
                 hashes, firsts = token_hashes(data, offsets)
                 # every text's words, then its end
                 tokens = np.insert(hashes, firsts[1:], U(0))
                 firsts = firsts + np.arange(len(firsts))
                 distinct, of = np.unique(tokens, return_inverse=True)
-                spot = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-                common = keys[spot] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                logs = np.where(common, gain[spot], 0.0)[of] if len(keys) else np.zeros(len(tokens))
-                rare = ~common[of]
-                rest = tokens[rare].view(np.int64)
-                rests = np.concatenate([[0], np.cumsum(rare)])[firsts]
+                common, logs = looked_up(distinct, keys, gain)
+                rare, logs = ~common[of], logs[of]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -290,26 +384,30 @@ def language_scores(docs: DataFrame, held_out: Column, order: int = ORDER, nodes
                         pa.array(np.diff(firsts)),
                         pa.array(sums(~rare, firsts).astype(np.int64)),
                         pa.array(sums(logs, firsts)),
-                        pa.array(sums(by_byte, np.concatenate([[0], ends]))),
-                        pa.ListArray.from_arrays(pa.array(rests, pa.int32()), pa.array(rest)),
+                        pa.array(sums(by_byte, ends)),
+                        lists(tokens, rare, firsts),
+                        more_grams,
                     ],
-                    ["doc_id", "held_out", "n_tokens", "common", "logs", "score", "rest"],
+                    ["doc_id", "held_out", "n_tokens", "common", "logs", "score", "rest", "grams"],
                 )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, common long, logs double, score double, rest array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, common long, logs double, score double, rest array<long>, grams array<long>"
     rows = docs.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id())
     rows = settle(rows, "rows")
     rare = rows.select("row", F.explode("rest").alias("key")).groupBy("row", "key").count()
     rare = rare.join(word_counts, "key").groupBy("row").agg(
         F.sum("count").alias("known"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("more")
     )
+    rare_grams = rows.select("row", F.explode("grams").alias("key")).groupBy("row", "key").count()
+    rare_grams = rare_grams.join(of_grams.select("key", F.col("score").alias("each")), "key")
+    rare_grams = rare_grams.groupBy("row").agg(F.sum(F.col("count") * F.col("each")).alias("bytes"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.join(rare, "row", "left").select(
+    return rows.join(rare, "row", "left").join(rare_grams, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("common") + zero("known")).alias("n_known"),
         F.lit(total[0]).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("more") - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        (F.col("score") + zero("bytes")).alias("score"),
     )
