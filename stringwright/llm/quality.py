@@ -2,9 +2,10 @@
 
 Only DataFrame functions. Each document's statistics become a vector of five numbers. For every
 language and source the minimum-covariance-determinant estimate is refined by concentration steps:
-from the documents nearest to the coordinatewise median, mean and covariance of the nearest
-``SHARE`` give new distances, whose nearest give the next estimate. A document is rejected when its
-Mahalanobis distance to the estimate passes ``CUTOFF``.
+mean and covariance of the nearest half give new distances, whose nearest half gives the next
+estimate. Of several starts the one of least determinant is kept; the documents it finds usual give the
+final estimate. A document is rejected when its Mahalanobis distance to that passes ``CUTOFF``. A bad
+cluster of less than half a group has no part in the estimate.
 
 All numbers are on a fixed grid and all sums and quantiles are exact, so reruns agree to the bit.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringwright.llm.store import settle, small
@@ -27,11 +28,16 @@ GRID = 1000
 VECTOR = ("length", "symbols", "lines", "repeats", "capitals")
 #: Least standard deviation of each number: smaller differences never count as strange.
 FLOOR = {"length": 0.04, "symbols": 0.03, "lines": 0.08, "repeats": 0.08, "capitals": 0.02}
-#: Share of a group that the estimate rests on, and what the covariance of that nearest share of
-#: five-dimensional normal data has to be multiplied by: SHARE over the chance that chi-square of 7
-#: degrees lies below the SHARE quantile of 5 degrees.
-SHARE, CONSISTENT = 0.75, 1.41
-STEPS = 4
+#: What the covariance of the nearest half of five-dimensional normal data has to be multiplied by: 0.5
+#: over the chance that chi-square of 7 degrees lies below the median of 5 degrees.
+CONSISTENT = 1.912
+#: Squared distance up to which a document takes part in the final estimate, the 0.975 quantile of
+#: chi-square, five degrees, and the factor of its covariance.
+USUAL, CONSISTENT_USUAL = 12.83, 1.056
+#: Concentration steps after which a start that still moves is taken as it is.
+STEPS = 12
+#: Starts: the quantile of each number in the middle, and whether its spread or only ``FLOOR`` is the scale.
+STARTS = ((0.5, False), (0.5, True), (0.25, True), (0.75, True))
 #: Squared distance beyond which a document is rejected: the 0.99999 quantile of chi-square, five degrees.
 CUTOFF = 30.86
 #: Documents a language and source needs for an estimate of its own; smaller ones are pooled by
@@ -133,17 +139,39 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(small(names, 200), "own", "left")
 
 
-def _moments(chosen: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the floored covariance of every group."""
-    big = lambda x: F.sum(x.cast("decimal(20,0)"))
-    sums = [big(F.col(v)).alias(f"s_{v}") for v in VECTOR]
-    products = [
+def _sums(weight: Column) -> list[Column]:
+    """Sums of the rows' numbers and products, exact."""
+    big = lambda x: F.sum((x * weight).cast("decimal(20,0)"))
+    sums = [big(F.col(v).cast("long")).alias(f"s_{v}") for v in VECTOR]
+    return [F.sum(weight).alias("n"), *sums, *[
         big(F.col(v).cast("long") * F.col(w)).alias(f"p_{v}_{w}") for i, v in enumerate(VECTOR) for w in VECTOR[: i + 1]
-    ]
-    out = chosen.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products)
+    ]]
+
+
+def _nearest(measured: DataFrame) -> DataFrame:
+    """Sums over the nearest half (grp, start, n, ...), the rows at the cut by the share that fits.
+
+    Half of n rows are (n + p + 1) / 2. Distances are compared on a grid of the logarithm, equal ones alike.
+    """
+    step = F.floor(F.log1p("distance") * 200).cast("int")
+    held = measured.groupBy("grp", "start", step.alias("step")).agg(*_sums(F.lit(1)))
+    every = Window.partitionBy("grp", "start")
+    upto = F.sum("n").over(every.orderBy("step"))
+    half = F.floor((F.sum("n").over(every) + len(VECTOR) + 1) / 2)
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), half - upto + F.col("n")))
+    held = held.withColumn("taken", taken.cast("long")).where("taken > 0")
+    # only the rows at the cut are taken in part, one step of each group
+    names = [c for c in held.columns if c[:2] in ("s_", "p_")]
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("taken") == F.col("n"), F.col(c))).cast("double"), F.lit(0.0))
+    cut = lambda c: F.coalesce(F.sum(F.when(F.col("taken") < F.col("n"), F.col(c).cast("double") * F.col("taken") / F.col("n"))), F.lit(0.0))
+    return held.groupBy("grp", "start").agg(F.sum("taken").alias("taken_n"), *[(whole(c) + cut(c)).alias(c) for c in names]).withColumnRenamed("taken_n", "n")
+
+
+def _moments(sums: DataFrame, factor: float) -> DataFrame:
+    """Mean and Cholesky factor of the floored covariance, and its determinant's logarithm, of every (grp, start)."""
     n = F.col("n").cast("double")
-    out = out.select("grp", "n", *[(F.col(f"s_{v}").cast("double") / n).alias(f"m_{v}") for v in VECTOR], *[
-        (CONSISTENT * (F.col(f"p_{v}_{w}").cast("double") / n - F.col(f"s_{v}").cast("double") / n * (F.col(f"s_{w}").cast("double") / n))).alias(f"c_{v}_{w}")
+    out = sums.select("grp", "start", *[(F.col(f"s_{v}").cast("double") / n).alias(f"m_{v}") for v in VECTOR], *[
+        (factor * (F.col(f"p_{v}_{w}").cast("double") / n - F.col(f"s_{v}").cast("double") / n * (F.col(f"s_{w}").cast("double") / n))).alias(f"c_{v}_{w}")
         for i, v in enumerate(VECTOR) for w in VECTOR[: i + 1]
     ])
     # the floor is added to the diagonal: as if every number came with independent noise of that size
@@ -158,7 +186,26 @@ def _moments(chosen: DataFrame) -> DataFrame:
                 value = left / F.col(f"l_{w}_{w}")
             out = out.withColumn(f"l_{v}_{w}", value)
     kept = [c for c in out.columns if c[:2] in ("m_", "l_")]
-    return settle(out.select("grp", "n", *kept), "moments")
+    spread = sum(F.log(F.col(f"l_{v}_{v}")) for v in VECTOR).alias("spread")
+    return settle(out.select("grp", "start", spread, *kept), "moments")
+
+
+def _starts(usable: DataFrame) -> DataFrame:
+    """Distances of all rows from every start's middle (grp, start, distance and the numbers)."""
+    quantiles = sorted({q for q, _ in STARTS})
+    middles = usable.groupBy("grp").agg(*[F.percentile(v, F.array(*map(F.lit, quantiles))).alias(f"q_{v}") for v in VECTOR])
+    rows = usable.join(small(settle(middles, "middles"), 400), "grp")
+    off = lambda v, q: F.col(v) - F.col(f"q_{v}")[quantiles.index(q)]
+    spreads = rows.groupBy("grp").agg(*[F.percentile(F.abs(off(v, 0.5)), 0.5).alias(f"d_{v}") for v in VECTOR])
+    rows = rows.join(small(settle(spreads, "spreads"), 200), "grp")
+
+    def apart(q: float, spread: bool) -> Column:
+        # the median deviation of normal data is 0.6745 standard deviations
+        square = lambda v: (F.col(f"d_{v}") / 0.6745) ** 2 * int(spread) + (FLOOR[v] * GRID) ** 2
+        return sum(off(v, q) ** 2 / square(v) for v in VECTOR)
+
+    found = F.array(*[F.struct(F.lit(k).alias("start"), apart(*x).alias("distance")) for k, x in enumerate(STARTS)])
+    return rows.select("grp", *VECTOR, F.inline(found))
 
 
 def _distances(rows: DataFrame, moments: DataFrame) -> DataFrame:
@@ -184,23 +231,19 @@ def judged(docs: DataFrame) -> DataFrame:
     total = counted.agg(F.sum("word_chars"), F.sum("n_words")).first()
     usual = round((total[0] or 0) / max(total[1] or 0, 1), 3)
     rows = settle(_grouped(vectors(counted, usual)), "vectors")
-    usable = rows.where("NOT base_failed")
-
-    def nearest(measured: DataFrame) -> DataFrame:
-        """Rows within the exact SHARE quantile of their group, on a grid of the logarithm."""
-        step = measured.withColumn("step", F.floor(F.log1p("distance") * 200).cast("int"))
-        cuts = step.groupBy("grp").agg(F.percentile("step", SHARE).alias("cut"))
-        cuts = settle(cuts, "cuts").withColumnRenamed("grp", "of")
-        return step.join(small(cuts, 100), F.col("grp") == F.col("of")).where("step <= cut")
-
-    middles = usable.groupBy("grp").agg(*[F.percentile(v, 0.5).alias(f"m_{v}") for v in VECTOR])
-    middles = small(settle(middles, "middles"), 200)
-    apart = sum(((F.col(v) - F.col(f"m_{v}")) / (FLOOR[v] * GRID)) ** 2 for v in VECTOR)
-    chosen = nearest(usable.join(middles, "grp").withColumn("distance", apart))
-    moments = _moments(chosen)
+    usable = settle(rows.where("NOT base_failed").select("grp", *VECTOR), "usable")
+    moments = _moments(_nearest(_starts(usable)), CONSISTENT)
     for _ in range(STEPS - 1):
-        moments = _moments(nearest(_distances(usable, moments)))
-    out = _distances(rows, moments.where(F.col("n") >= SHARE * LEAST_POOL))
+        before, moments = moments, _moments(_nearest(_distances(usable, moments)), CONSISTENT)
+        if not moments.exceptAll(before).limit(1).count():
+            break
+    best = F.min(F.struct("spread", "start", *[c for c in moments.columns if c[:2] in ("m_", "l_")]))
+    moments = settle(moments.groupBy("grp").agg(best.alias("best")).select("grp", "best.*"), "best")
+    measured = _distances(usable, moments).where(F.col("distance") <= USUAL)
+    moments = _moments(measured.groupBy("grp", "start").agg(*_sums(F.lit(1))), CONSISTENT_USUAL)
+    sizes = usable.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_POOL)
+    moments = settle(moments.join(sizes, "grp", "left_semi"), "judges")
+    out = _distances(rows, moments)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "grp"
