@@ -260,7 +260,7 @@ def model_save_load(spark, sf_dir):
 
 @check("loo")
 def loo(spark, sf_dir):
-    return shown(L.leave_one_out(training_features(spark, sf_dir), trees=20))
+    return shown(L.leave_one_out(training_features(spark, sf_dir)))
 
 
 @check("holdout")
@@ -270,7 +270,7 @@ def holdout(spark, sf_dir):
 
 @check("grid")
 def grid(spark, sf_dir):
-    return L.grid_search(training_features(spark, sf_dir), steps=[0.05, 0.3], trees=[5, 10], folds=3)
+    return L.grid_search(training_features(spark, sf_dir))
 
 
 SCORED = """scored AS (SELECT quality AS label, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS prediction,
