@@ -22,7 +22,7 @@ BASE = ("assign", "access", "hex")
 #: Each kind has the word that a text must contain (in lower case) to be searched at all.
 WEAK = {
     "identifier": (r"((?i:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,})", ("user", "login", "account", "clientid", "client_id", "keyid", "key_id")),
-    "key": (r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])(?=[A-Z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/_-]))", ()),
+    "key": (r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-]))", ()),
     "endpoint": (r"((?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x00-\x20\"'<>]+)", ("://",)),
 }
 KINDS = (*BASE, *WEAK)
