@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from stringwright.llm.attribution import attributed
 from stringwright.llm.decontaminate import contamination
+from stringwright.llm.lines import digest as line_digest
+from stringwright.llm.lines import without_shared_lines
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
 from stringwright.llm.personal import digest, personal_data
@@ -140,6 +142,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op12_line_dedup",
+    r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+    FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.last AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(without_shared_lines(table(spark, sf_dir, "documents")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
