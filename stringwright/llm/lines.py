@@ -28,7 +28,8 @@ def keyed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
     ``row`` tells rows apart while the result is written; it means nothing afterwards.
     """
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())  # before lines are exploded, so that they share it
+    placed = rows.select("row", "doc_id", "mark", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     stripped = placed.withColumn("line", F.trim("line", F.lit(SPACES))).where(F.length("line") >= least_chars)
     key = lowered(F.col("line"))
     return stripped.select("row", "doc_id", "mark", "place", *[F.xxhash64(F.lit(seed), key).alias(f"h{seed}") for seed in (1, 2)])
