@@ -46,18 +46,17 @@ def shared_lines(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return counted.where(F.col("n_documents") >= documents)
 
 
-def _without(lines: Column, gone: Column) -> Column:
-    """The lines at all places but those of the sorted array ``gone``, joined: stretches between two
-    places are cut out whole, so the work is linear in both."""
+def outside(items: Column, gone: Column) -> Column:
+    """The items of an array outside the sorted, disjoint ranges ``gone`` (lo, hi): stretches between
+    two ranges are cut out whole, so the work is linear in both."""
 
     def stretches(x: Column) -> Column:
-        start = lambda j: F.coalesce(F.get(x["gone"], j - 1) + 1, F.lit(0))
-        end = lambda j: F.coalesce(F.get(x["gone"], j), F.size(x["lines"]))
-        cut = F.transform(F.sequence(F.lit(0), F.size(x["gone"])), lambda j: F.slice(x["lines"], start(j) + 1, end(j) - start(j)))
-        return F.array_join(F.flatten(cut), "\n")
+        start = lambda j: F.coalesce(F.get(x["gone"], j - 1)["hi"], F.lit(0)).cast("int")
+        end = lambda j: F.coalesce(F.get(x["gone"], j)["lo"], F.size(x["items"])).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["gone"])), lambda j: F.slice(x["items"], start(j) + 1, end(j) - start(j))))
 
-    # bound once, so that the text is not split for every stretch
-    return F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), stretches)[0]
+    # bound once, so that the items are not made anew for every stretch
+    return F.transform(F.array(F.struct(items.alias("items"), gone.alias("gone"))), stretches)[0]
 
 
 def without_shared_lines(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -81,7 +80,8 @@ def without_shared_lines(docs: DataFrame, documents: int = DOCUMENTS, least_char
     n_bytes = gone.agg(F.sum(F.size("gone") * 4 + 48)).first()[0] or 0
     gone = F.broadcast(gone) if n_bytes <= BROADCAST_BYTES else gone
     out = docs.join(gone, docs.doc_id.eqNullSafe(F.col("d")) & (docs.mark == F.col("m")), "left")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(_lines(F.col("text")), F.col("gone")))
+    ranges = F.transform("gone", lambda place: F.struct(place.alias("lo"), (place + 1).alias("hi")))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(outside(_lines(F.col("text")), ranges), "\n"))
     return out.select(
         "doc_id",
         F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),

@@ -16,6 +16,8 @@ from stringwright.llm.lines import digest as line_digest
 from stringwright.llm.lines import without_shared_lines
 from stringwright.llm.mixing import mixed
 from stringwright.llm.near_dedup import near_duplicates
+from stringwright.llm.periods import digest as run_digest
+from stringwright.llm.periods import periodic_runs, planted
 from stringwright.llm.personal import digest, personal_data
 from stringwright.llm.ppm import language_scores
 from stringwright.llm.quality import judged
@@ -168,6 +170,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(without_shared_lines(table(spark, sf_dir, "documents")))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digest(periodic_runs(docs.withColumn("text", planted(F.col("doc_id"), F.col("text")))))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
