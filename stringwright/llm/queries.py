@@ -26,6 +26,7 @@ from stringwright.llm.secrets import digest as secret_digest
 from stringwright.llm.secrets import secrets
 from stringwright.llm.store import ship
 from stringwright.llm.token_files import token_files
+from stringwright.llm.trie import grafted, prefix_trie, turns_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,6 +177,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(docs.withColumn("text", planted(F.col("doc_id"), F.col("text")))))
 
 
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(grafted(turns_of(table(spark, sf_dir, "conversations"))))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
