@@ -33,6 +33,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: CRC-32 of the text ``{x}``, bit by bit.
+CRC32 = """xor(4294967295::UBIGINT, list_reduce(
+        list_concat([4294967295::UBIGINT], list_transform(string_split({x}, ''), lambda c: ascii(c)::UBIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: 0::UBIGINT)),
+                                 lambda s, z: xor(s >> 1, 3988292384::UBIGINT * (s & 1::UBIGINT)))))::BIGINT"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -171,13 +178,85 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(without_shared_lines(table(spark, sf_dir, "documents")))
 
 
-@query("op11_periodic_runs")
+@query(
+    "op11_periodic_runs",
+    r"""
+WITH texts AS (
+    SELECT doc_id, CRC AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sized AS (
+    SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM texts
+), planted AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+    FROM sized
+), words AS (
+    SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM planted
+), pairs AS (
+    SELECT a.doc_id, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word
+    AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), stretches AS (
+    SELECT doc_id, q, min(i) AS s, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+    GROUP BY doc_id, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6
+), runs AS (
+    SELECT * FROM stretches x WHERE NOT EXISTS (SELECT 1 FROM stretches y WHERE y.doc_id = x.doc_id AND y.q < x.q
+    AND y.s <= x.s AND y.s + y.length >= x.s + x.length)
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', length, ',', q, chr(10)), '' ORDER BY s, q) AS listed,
+           first(s ORDER BY length DESC, s, q) AS start, max(length) AS length, first(q ORDER BY length DESC, s, q) AS period
+    FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs
+), kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+""".replace("CRC", CRC32.format(x="CAST(doc_id AS VARCHAR)")),
+)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return run_digest(periodic_runs(docs.withColumn("text", planted(F.col("doc_id"), F.col("text")))))
 
 
-@query("op13_prefix_trie")
+@query(
+    "op13_prefix_trie",
+    r"""
+WITH numbered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+           md5(concat(length(coalesce(role, '')), ':', role, text)) AS name
+    FROM conversations WHERE conv_id IS NOT NULL
+), talks AS (
+    SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS head, CRC % 4 AS h FROM numbered
+), turns AS (
+    SELECT t.conv_id, n.place, n.words, n.name FROM talks t JOIN numbered n ON n.conv_id = t.head AND n.place < t.h
+    UNION ALL SELECT t.conv_id, n.place, n.words, n.name FROM talks t JOIN numbered n ON n.conv_id = t.conv_id AND n.place >= t.h
+), paths AS (
+    SELECT conv_id, row_number() OVER o AS depth, words, md5(string_agg(name, '') OVER o) AS path,
+           count(*) OVER (PARTITION BY conv_id) AS size
+    FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY place)
+), members AS (
+    SELECT conv_id, depth, words, path, lag(path, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = size AS ends FROM paths
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL, conv_id NOT IN (SELECT conv_id FROM turns) FROM talks
+), nodes AS (
+    SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, min(up) AS up, min(words) AS words, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY path
+), children AS (
+    SELECT up AS path, count(*) AS n FROM nodes GROUP BY up
+), below AS (
+    SELECT m.path, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+    FROM nodes b LEFT JOIN children c ON c.path = b.path
+    JOIN members x ON x.conv_id = b.conv_id AND x.depth = b.depth
+    JOIN members m ON m.conv_id = b.conv_id AND m.depth <= b.depth GROUP BY m.path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON p.path = n.up LEFT JOIN children c ON c.path = n.path
+""".replace("CRC", CRC32.format(x="CAST(conv_id AS VARCHAR)")),
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(grafted(turns_of(table(spark, sf_dir, "conversations"))))
 
