@@ -7,7 +7,6 @@ Label 1 is nominal (unordered), 0 ordinal.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import zip_longest
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stringwright import constants as K
 from stringwright.functions import text as X
+from stringwright.operators.boosting import held_out_scores
 from stringwright.operators.values import column_totals, join_map, rank_values, running_total, settle
 
 FEATURES = [
@@ -219,26 +219,26 @@ def split_train_test(features: DataFrame, share: float = 0.7, seed: int = 1) ->
     return features.where(here), features.where(~here)
 
 
-def fold_numbers(features: DataFrame, folds: int | None = None) -> DataFrame:
-    """Add ``fold``: one per row (leave one out), or as many as asked for."""
-    folds = folds or features.count()
+def fold_numbers(features: DataFrame, folds: int) -> DataFrame:
+    """Add ``fold`` by the rank of the column key's hash, so that folds differ by one row at most."""
     order = [F.md5(F.col("col").cast("binary")), F.col("col")]
     return rank_values(features, [], order, "fold").withColumn("fold", F.col("fold") % folds)
 
 
-def leave_one_out(features: DataFrame, folds: int | None = None, parallel: int = 4, **params) -> DataFrame:
-    """Predictions of every row by a model that has not seen it, or with ``folds`` none of its fold."""
-    params = {"depth": 2, **params}
-    numbered = settle(fold_numbers(features, folds))
-    ids = sorted(r["fold"] for r in numbered.select("fold").distinct().collect())
+def evaluated(features: DataFrame, steps: list[float], trees: list[int], depth: int, folds: int | None = None) -> DataFrame:
+    """The rows with ``step``, ``trees``, ``score`` and ``prediction``, once for every step and tree
+    count, by models that have not seen the row's fold: one fold per row, or as many as asked for."""
+    features = settle(features.withColumn("label", F.col("label").cast("double")))
+    rows = features.count()
+    folds = min(folds or rows, rows)
+    labelled = fold_numbers(features, max(folds, 1))
+    scored = held_out_scores(labelled, FEATURES, "fold", max(folds, 1), steps, trees, depth)
+    return scored.withColumn("label", F.col("label").cast("int"))
 
-    def one(i: int) -> DataFrame:
-        model = train(numbered.where(F.col("fold") != i), **params)
-        return predict(numbered.where(F.col("fold") == i), model)
 
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, ids))
-    return reduce(DataFrame.unionByName, parts)
+def leave_one_out(features: DataFrame, folds: int | None = None, trees: int = 100, depth: int = 2, step: float = 0.1) -> DataFrame:
+    """Predictions of every row by a model that has not seen it, or with ``folds`` none of its fold."""
+    return evaluated(features, [step], [trees], depth, folds).drop("step", "trees")
 
 
 def hold_out(features: DataFrame, source: str, held: list[str], **params) -> DataFrame:
@@ -254,23 +254,12 @@ GRID_TREES = [25, 50, 75, 100, 125, 150, 175, 200]
 
 
 def grid_search(
-    features: DataFrame,
-    steps: list[float] | None = None,
-    trees: list[int] | None = None,
-    folds: int | None = None,
-    parallel: int = 4,
+    features: DataFrame, steps: list[float] | None = None, trees: list[int] | None = None, folds: int | None = None, depth: int = 3
 ) -> DataFrame:
-    """``<step, trees, accuracy>`` of every grid point over pooled held-out predictions."""
-    results = []
-    for step in steps or GRID_STEPS:
-        for count in trees or GRID_TREES:
-            predicted = leave_one_out(features, folds, parallel, step=step, trees=count, depth=3)
-            results.append(
-                predicted.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(
-                    F.lit(step).alias("step"), F.lit(count).alias("trees"), "accuracy"
-                )
-            )
-    return reduce(DataFrame.unionByName, results)
+    """``<step, trees, accuracy>`` of every grid point over pooled held-out predictions, one job for all."""
+    predicted = evaluated(features, steps or GRID_STEPS, trees or GRID_TREES, depth, folds)
+    right = (F.col("prediction") == F.col("label")).cast("double")
+    return predicted.groupBy("step", "trees").agg(F.avg(right).alias("accuracy"))
 
 
 def metrics(predicted: DataFrame) -> DataFrame:
