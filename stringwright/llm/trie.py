@@ -21,7 +21,7 @@ from stringwright.llm.mixing import WORD
 from stringwright.llm.store import settle
 
 #: Ids that share a shard; a multiple of 20 below 32768.
-SHARD = 4000
+SHARD = 1000
 BLOCK = 20
 
 
