@@ -9,6 +9,7 @@ from stringwright.catalog.fixtures import table
 from stringwright.catalog.registry import check, grams, jaccard, md5_32
 from stringwright.functions import text as X
 from stringwright.operators import encode as E
+from stringwright.operators import gap as G
 from stringwright.operators import features as P
 from stringwright.operators import values as V
 
@@ -384,6 +385,22 @@ def gap_encode(spark, sf_dir):
     return E.encode_wide(parts, "p_name", E.gap_map(values), K.GAP_TOPICS)
 
 
+@check(
+    "gap_sums",
+    f"""WITH d AS (SELECT DISTINCT p_name AS value FROM part),
+      n AS (SELECT value, list_sum([greatest(length(lower(value)) - g + 1, 0) FOR g IN [2, 3, 4]]) AS grams FROM d)
+      SELECT value, {K.GAP_TOPICS}::BIGINT AS topics, round((grams + {K.GAP_TOPICS} * ({G.SHAPE} - 1)) / (1 + 1 / {G.SCALE}), 4)::DOUBLE AS total,
+      true AS positive FROM n""",
+)
+def gap_sums(spark, sf_dir):
+    """Topic weights of a text: as many as topics, positive, and of the sum that its n-grams and the prior give."""
+    values = table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct()
+    total = F.aggregate("code", F.lit(0.0), lambda a, x: a + x)
+    return E.gap_map(values).select(
+        "value", F.size("code").cast("long").alias("topics"), F.round(total, 4).alias("total"), (F.array_min("code") > 0).alias("positive")
+    )
+
+
 SEEDS_SQL = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(E.hash_seeds()))
 
 

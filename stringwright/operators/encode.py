@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
 from stringwright.functions import text as X
+from stringwright.operators.gap import weights_of
 from stringwright.operators.values import join_map, rank_values
 
 GRAMS = (2, 4)
@@ -101,15 +99,9 @@ def gram_tokens(value: Column) -> Column:
 
 
 def gap_map(values: DataFrame, topics: int = K.GAP_TOPICS, seed: int = 1) -> DataFrame:
-    """``<value, code>``: topic shares of the n-gram counts of the distinct values.
-
-    The library's topic model stands in for a Gamma-Poisson factorisation. Every step sees all values,
-    and no n-gram is left out.
-    """
-    tokens = values.select("value", gram_tokens(F.lower("value")).alias("grams"))
-    counted = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=2**31 - 1).fit(tokens).transform(tokens)
-    model = LDA(k=topics, optimizer="online", seed=seed, maxIter=20, subsamplingRate=1.0, featuresCol="counts").fit(counted)
-    return model.transform(counted).select("value", vector_to_array("topicDistribution").alias("code"))
+    """``<value, code>``: topic weights of the n-gram counts of the distinct values, by a Gamma-Poisson
+    factorisation. No n-gram is left out."""
+    return weights_of(values, gram_tokens(F.lower("value")), topics, seed)
 
 
 def hash_seeds(size: int = K.MINHASH_SIZE) -> list[tuple[int, int]]:

@@ -53,3 +53,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Write a derived table once so that later steps read it instead of recomputing it."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settle``, by way of files: nothing of the plan stays, not even what it says about its rows.
+    For loops, where that would grow from round to round."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
