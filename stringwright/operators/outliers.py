@@ -70,23 +70,23 @@ def infrequent_candidates(
 
 
 def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
-    """Values with their n-grams (rare to common) split by how many values of the column hold
-    them: ``_cold`` (up to ``heavy``), ``_hot``, and ``_wide`` (more than one value in
-    ten). Cold and hot ones are limited to the prefix that decides similarity.
+    """Ids with the n-grams of their values (rare to common) split by how many values of the column
+    hold them: ``_cold`` (up to ``heavy``) and ``_hot``, with their places among all, and ``_wide``
+    (more than one value in ten). Cold and hot ones are limited to the prefix that decides similarity.
 
     Two sets with Jaccard >= t share an element among the first ``size - ceil(t * size) + 1``
-    of each in a common order, and two elements among one more.
+    of each in a common order, and two elements among one more. Texts stay behind.
     """
     coded = X.gram_codes(X.char_ngrams(F.col("value"), n, drop_last), n)
+    keys = ["id", "col", "n", "_suspect", "_target", "_size"]
     grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams")).where(F.col("_size") > 0)
-    single = grams.select(*values.columns, "_size", F.explode("_grams").alias("_gram"))
+    single = grams.select(*keys, F.explode("_grams").alias("_gram"))
     bounds = grams.groupBy("col").agg(F.greatest(F.lit(heavy), F.count(F.lit(1)) / WIDE_SHARE).alias("_bound"))
     frequency = (
         single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq")).join(F.broadcast(bounds), "col")
     )
     if small_enough(frequency):
         frequency = F.broadcast(frequency)
-    keys = [*values.columns, "_size"]
     entry = F.struct("_freq", "_gram", (F.col("_freq") > F.col("_bound")).alias("_is_wide"))
     ordered = (
         single.join(frequency, ["col", "_gram"]).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
@@ -96,32 +96,37 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
     def names(entries: Column) -> Column:
         return F.transform(entries, lambda g: g["_gram"])
 
-    first, longer = F.slice("_sorted", F.lit(1), length), F.slice("_sorted", F.lit(1), length + 1)
+    def placed(entries: Column) -> Column:
+        return F.transform(entries, lambda g, i: F.struct(g["_gram"].alias("g"), i.alias("at"), g["_freq"].alias("f"), g["_is_wide"].alias("w")))
+
+    first, longer = placed(F.slice("_sorted", F.lit(1), length)), placed(F.slice("_sorted", F.lit(1), length + 1))
     return ordered.select(
         *keys,
         names(F.col("_sorted")).alias("_grams"),
-        names(F.filter(first, lambda g: g["_freq"] <= heavy)).alias("_cold"),
-        names(F.filter(longer, lambda g: (g["_freq"] > heavy) & ~g["_is_wide"])).alias("_hot"),
+        F.filter(first, lambda g: g["f"] <= heavy).alias("_cold"),
+        F.filter(longer, lambda g: (g["f"] > heavy) & ~g["w"]).alias("_hot"),
         names(F.filter("_sorted", lambda g: g["_is_wide"])).alias("_wide"),
     )
 
 
-def _blocks(sorted_values: DataFrame, gram_type: str) -> DataFrame:
-    """One row per value and blocking key: a cold gram, or two hot ones."""
-    nothing = F.lit(None).cast(gram_type)
-    cold = F.transform("_cold", lambda g: F.struct(g.alias("a"), nothing.alias("b")))
+_SIDE = ["id", "n", "_size"]
+
+
+def _blocks(sorted_values: DataFrame) -> DataFrame:
+    """One row per value and blocking key, a cold gram or two hot ones, with the place of the key's
+    first gram. Only ids, counts and sizes travel."""
+    cold = F.transform("_cold", lambda g: F.struct(g["g"].alias("a"), g["g"].alias("b"), g["at"].alias("at")))
     pairs = F.flatten(
         F.transform(
             "_hot",
             lambda a, i: F.transform(
                 F.slice("_hot", i + 2, F.size("_hot")),
-                lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
+                lambda b: F.struct(F.least(a["g"], b["g"]).alias("a"), F.greatest(a["g"], b["g"]).alias("b"), a["at"].alias("at")),
             ),
         )
     )
-    kept = ["col", "value", "n", "_suspect", "_target", "_grams"]
-    return sorted_values.select(*kept, F.explode(F.concat(cold, pairs)).alias("_key")).select(
-        *kept, F.col("_key.a").alias("_a"), F.coalesce("_key.b", F.lit("").cast(gram_type) if gram_type == "string" else F.lit(0)).alias("_b")
+    return sorted_values.select("col", *_SIDE, "_suspect", "_target", F.explode(F.concat(cold, pairs)).alias("_key")).select(
+        "col", *_SIDE, "_suspect", "_target", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), F.col("_key.at").alias("_at")
     )
 
 
@@ -149,7 +154,12 @@ def partner_candidates(
     * sharing only wide grams: the same with groups of equal wide grams and size.
 
     So a prefix or a word in a third of all values never forms a block of its own.
+
+    Values go by ids in the order of their texts. A pair whose first common gram stands too late in
+    either value for what is left to suffice is not formed; n-grams and texts are fetched once for
+    every pair that is.
     """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = values.select(
         "col",
         "value",
@@ -157,22 +167,22 @@ def partner_candidates(
         (F.lit(True) if suspect is None else suspect).alias("_suspect"),
         (F.lit(True) if target is None else target).alias("_target"),
     ).where(F.col("_suspect") | F.col("_target"))
-    gram_type = "bigint" if n <= 3 else "string"
-    sides = settle(sides)
+    in_order = sides.repartitionByRange(parts, "col", "value").sortWithinPartitions("col", "value")
+    sides = settle(in_order.withColumn("id", F.monotonically_increasing_id()))
     asked = [r["col"] for r in sides.where("_suspect").select("col").distinct().collect()]
     if not asked:
         return values.sparkSession.createDataFrame(
             [], "col string, old string, new string, n_old bigint, n_new bigint, similarity double"
         )
-    listed = settle(_sorted_grams(sides.where(F.col("col").isin(asked)), threshold, n, drop_last, heavy))
+    sides = sides.where(F.col("col").isin(asked))
+    listed = settle(_sorted_grams(sides, threshold, n, drop_last, heavy))
 
     def allowed(n_old: Column, n_new: Column) -> Column:
         return n_new >= n_old if accept is None else (n_new >= n_old) & accept(n_old, n_new)
 
     # Few rows in, many pairs out: a fixed number of partitions keeps the join parallel
     # where adaptive execution would judge by the small input and merge them.
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _blocks(listed, gram_type).repartition(parts, "col", "_a", "_b")
+    keyed = _blocks(listed).repartition(parts, "col", "_a", "_b")
     limits = keyed.groupBy("col", "_a", "_b").agg(
         F.max(F.when(F.col("_target"), F.col("n"))).alias("_top"),
         F.min(F.when(F.col("_suspect"), F.col("n"))).alias("_low"),
@@ -184,22 +194,20 @@ def partner_candidates(
         .where(F.col("_suspect") | F.col("_target"))
         .drop("_top", "_low")
     ).repartition(parts, "col", "_a", "_b")
-    old = _old_side(useful.where("_suspect"), "_a", "_b")
-    new = _new_side(useful.where("_target"), "_a", "_b")
-    found = _verified(old.join(new, ["col", "_a", "_b"]), threshold, allowed)
+    old = _renamed(useful.where("_suspect"), "_old", "col", "_a", "_b")
+    new = _renamed(useful.where("_target"), "_new", "col", "_a", "_b")
+    left = F.least(F.col("_size_old") - F.col("_at_old"), F.col("_size_new") - F.col("_at_new"))
+    late = left * (1 + threshold) < (F.col("_size_old") + F.col("_size_new")) * threshold - 1e-9
+    found = old.join(new, ["col", "_a", "_b"]).where(_possible(threshold, allowed) & ~late)
 
     # Wide grams alone (with one more) can only reach the threshold where there are enough.
     least = F.ceil(F.col("_size") * F.lit(threshold) - 1e-9).cast("int")
     nearly = listed.where(F.size("_wide") + 1 >= least)
-    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"), F.col("n"), F.col("_grams"))).alias("b")
-    rep = ["b.value", "b.n", "b._grams"]
-    hot = nearly.select("*", F.explode("_hot").alias("_h"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("id"), F.col("n"))).alias("b")
+    hot = nearly.select("col", *_SIDE, "_wide", "_suspect", "_target", F.explode("_hot.g").alias("_h"))
     by_hot = hot.where("_target").groupBy("col", "_h", "_wide", "_size").agg(best)
-    one_hot = _verified(
-        _old_side(hot.where("_suspect"), "_h").join(_new_side(by_hot.select("col", "_h", *rep), "_h"), ["col", "_h"]),
-        threshold,
-        allowed,
-    )
+    reps = by_hot.select("col", "_h", "_size", "b.id", "b.n")
+    one_hot = _renamed(hot.where("_suspect"), "_old", "col", "_h").join(_renamed(reps, "_new", "col", "_h"), ["col", "_h"])
 
     # Two sets of wide grams that alone suffice share one of the rarest few.
     enough = listed.where(F.size("_wide") >= least).withColumn(
@@ -208,19 +216,21 @@ def partner_candidates(
     groups = enough.where("_target").groupBy("col", "_wide", "_size", "_first").agg(best)
     shapes = enough.where("_suspect").select("col", "_wide", "_size", "_first").distinct()
     wide_only = _wide_pairs(enough.where("_suspect"), shapes, groups, threshold)
-    return found.unionByName(one_hot).unionByName(_verified(wide_only, threshold, allowed))
+    pairs = [x.select("id_old", "id_new") for x in (found, one_hot.where(_possible(threshold, allowed)), wide_only.where(_possible(threshold, allowed)))]
+    return _verified(reduce(DataFrame.union, pairs).distinct(), sides, listed, threshold)
 
 
-def _old_side(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(
-        "col", *keys, F.col("value").alias("old"), F.col("n").alias("n_old"), F.col("_grams").alias("_g_old")
-    )
+def _renamed(rows: DataFrame, end: str, *keys: str) -> DataFrame:
+    """One side of a join: all columns but the keys get an ending."""
+    return rows.select(*keys, *[F.col(c).alias(c + end) for c in rows.columns if c not in keys])
 
 
-def _new_side(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(
-        "col", *keys, F.col("value").alias("new"), F.col("n").alias("n_new"), F.col("_grams").alias("_g_new")
-    )
+def _possible(threshold: float, allowed: Callable[[Column, Column], Column]) -> Column:
+    """Pairs in the right order of frequency, accepted, and not too different in size."""
+    n_old, n_new = F.col("n_old"), F.col("n_new")
+    commoner = (n_new > n_old) | ((n_new == n_old) & (F.col("id_new") < F.col("id_old")))
+    s_old, s_new = F.col("_size_old"), F.col("_size_new")
+    return commoner & (s_new >= s_old * threshold) & (s_old >= s_new * threshold) & allowed(n_old, n_new)
 
 
 def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -229,10 +239,10 @@ def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, thres
         "col", F.col("_wide").alias("_w_old"), F.col("_size").alias("_s_old"), F.explode("_first").alias("_g")
     )
     theirs = groups.select(
-        "col", F.col("_wide").alias("_w_new"), F.col("_size").alias("_s_new"), "b", F.explode("_first").alias("_g")
+        "col", F.col("_wide").alias("_w_new"), F.col("_size").alias("_size_new"), "b", F.explode("_first").alias("_g")
     )
     shared = F.size(F.array_intersect("_w_old", "_w_new"))
-    needed = (F.col("_s_old") + F.col("_s_new")) * threshold - 1e-9
+    needed = (F.col("_s_old") + F.col("_size_new")) * threshold - 1e-9
     reps = (
         mine.join(theirs, ["col", "_g"])
         .where(shared * (1 + threshold) >= needed)
@@ -240,32 +250,28 @@ def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, thres
             "col",
             F.col("_w_old").alias("_wide"),
             F.col("_s_old").alias("_size"),
-            F.col("b.value").alias("new"),
+            "_size_new",
+            F.col("b.id").alias("id_new"),
             F.col("b.n").alias("n_new"),
-            F.col("b._grams").alias("_g_new"),
         )
         .distinct()
     )
-    return _old_side(suspects, "_wide", "_size").join(reps, ["col", "_wide", "_size"])
-
-
-def _verified(pairs: DataFrame, threshold: float, allowed: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs in the right order of frequency, accepted, and truly similar."""
-    commoner = (F.col("n_new") > F.col("n_old")) | (
-        (F.col("n_new") == F.col("n_old")) & (F.col("new") < F.col("old"))
-    )
-    s_old, s_new = F.size("_g_old"), F.size("_g_new")
-    sizes = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
-    shared = F.size(F.array_intersect("_g_old", "_g_new"))
-    enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
-    return (
-        pairs.where(commoner & sizes & allowed(F.col("n_old"), F.col("n_new")))
-        .where(enough)
-        .withColumn("_shared", shared)
-        .withColumn("similarity", F.col("_shared") / (s_old + s_new - F.col("_shared")))
-        .where(F.col("similarity") >= threshold)
-        .select("col", "old", "new", "n_old", "n_new", "similarity")
-    )
+    mine = suspects.select("col", "_wide", "_size", F.col("_size").alias("_size_old"), F.col("id").alias("id_old"), F.col("n").alias("n_old"))
+    return mine.join(reps, ["col", "_wide", "_size"])
+
+
+def _verified(pairs: DataFrame, sides: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids that are truly similar, with their texts, each fetched once."""
+    pairs, grams = settle(pairs), listed.select("id", "_grams")
+    for end in ("_old", "_new"):
+        pairs = pairs.join(_renamed(grams, end), f"id{end}")
+    s_old, s_new = F.size("_grams_old"), F.size("_grams_new")
+    shared = F.size(F.array_intersect("_grams_old", "_grams_new"))
+    alike = pairs.withColumn("_shared", shared).withColumn("similarity", F.col("_shared") / (s_old + s_new - F.col("_shared")))
+    alike = alike.where(F.col("similarity") >= threshold).select("id_old", "id_new", "similarity")
+    old = sides.select(F.col("id").alias("id_old"), "col", F.col("value").alias("old"), F.col("n").alias("n_old"))
+    new = sides.select(F.col("id").alias("id_new"), F.col("value").alias("new"), F.col("n").alias("n_new"))
+    return alike.join(old, "id_old").join(new, "id_new").select("col", "old", "new", "n_old", "n_new", "similarity")
 
 
 def best_partner(pairs: DataFrame) -> DataFrame:

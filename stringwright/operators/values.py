@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from stringwright.functions import text as X
 from stringwright.session import settle
@@ -70,10 +70,24 @@ def column_totals(values: DataFrame) -> DataFrame:
     )
 
 
+def row_bytes(schema: StructType) -> Column:
+    """About what a row takes: lengths of texts and arrays, eight bytes for everything else."""
+
+    def of(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+        if isinstance(kind, ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(8).cast("bigint"), lambda a, x: a + of(x, kind.elementType)), F.lit(8))
+        if isinstance(kind, StructType):
+            return sum([of(value[f.name], f.dataType) for f in kind.fields], F.lit(8))
+        return F.lit(8)
+
+    return sum([of(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields], F.lit(16)).cast("bigint")
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table, measured row by row, fits the broadcast limit."""
-    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 16)).first()[0]
-    return (size or 0) <= limit
+    return (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= limit
 
 
 def join_map(
