@@ -289,6 +289,27 @@ def mcar_test(spark, sf_dir):
     return M.mcar_test(coded(spark, sf_dir), ["prio", "price", "status"])
 
 
+@check(
+    "mcar_statistic",
+    f"""WITH {CODED}, m AS (SELECT avg(prio) AS ma, avg(price) AS mb, avg(status) AS mc, var_samp(prio) AS aa, var_samp(price) AS bb,
+      var_samp(status) AS cc, covar_samp(prio, price) AS ab, covar_samp(prio, status) AS ac, covar_samp(price, status) AS bc FROM coded),
+    g AS (SELECT prio IS NOT NULL AS a, price IS NOT NULL AS b, status IS NOT NULL AS c, count(*) AS n, avg(prio) - any_value(ma) AS x,
+      avg(price) - any_value(mb) AS y, avg(status) - any_value(mc) AS z FROM coded, m GROUP BY 1, 2, 3),
+    d AS (SELECT a::INT + b::INT + c::INT AS seen, n * CASE
+      WHEN a AND b AND c THEN (x * x * (bb * cc - bc * bc) + y * y * (aa * cc - ac * ac) + z * z * (aa * bb - ab * ab)
+        + 2 * x * y * (ac * bc - ab * cc) + 2 * x * z * (ab * bc - ac * bb) + 2 * y * z * (ab * ac - aa * bc))
+        / (aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac))
+      WHEN a AND b THEN (x * x * bb - 2 * x * y * ab + y * y * aa) / (aa * bb - ab * ab)
+      WHEN a AND c THEN (x * x * cc - 2 * x * z * ac + z * z * aa) / (aa * cc - ac * ac)
+      WHEN b AND c THEN (y * y * cc - 2 * y * z * bc + z * z * bb) / (bb * cc - bc * bc)
+      WHEN a THEN x * x / aa WHEN b THEN y * y / bb WHEN c THEN z * z / cc ELSE 0 END AS d2 FROM g, m)
+    SELECT round(sum(d2), 6) AS d2, (sum(seen) - 3)::BIGINT AS dof FROM d""",
+)
+def mcar_statistic(spark, sf_dir):
+    """Little's statistic and its degrees of freedom; SQL inverts the covariances by hand."""
+    return M.mcar_test(coded(spark, sf_dir), ["prio", "price", "status"]).select(F.round("d2", 6).alias("d2"), "dof")
+
+
 TYPES = {"prio": "string", "price": "float", "status": "string"}
 
 
@@ -308,6 +329,38 @@ def impute_iterative(spark, sf_dir):
     return M.impute_iterative(coded(spark, sf_dir), ["prio", "price", "status"], ["prio", "status"])
 
 
+@check(
+    "impute_observed",
+    f"WITH {CODED} SELECT o_orderkey, prio, round(price, 6) AS price, status, TRUE AS whole FROM coded",
+)
+def impute_observed(spark, sf_dir):
+    """Imputation leaves what was observed and fills every gap; codes come out whole."""
+    gaps = coded(spark, sf_dir)
+    done = M.impute_iterative(gaps, ["prio", "price", "status"], ["prio", "status"])
+    met = gaps.join(done.select("o_orderkey", *[F.col(c).alias(f"{c}_done") for c in ("prio", "price", "status")]), "o_orderkey")
+    whole = (F.col("prio_done") == F.round("prio_done")) & (F.col("status_done") == F.round("status_done")) & F.col("price_done").isNotNull()
+    was = lambda c: F.when(F.col(c).isNotNull(), F.col(f"{c}_done"))
+    return met.select("o_orderkey", was("prio").alias("prio"), F.round(was("price"), 6).alias("price"), was("status").alias("status"), whole.alias("whole"))
+
+
+@check(
+    "impute_one_gap",
+    """WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS a, (o_orderkey % 1000)::DOUBLE AS b,
+      CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000 + o_custkey / 10.0 END AS y FROM orders),
+    k AS (SELECT * FROM o WHERE y IS NOT NULL),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab,
+      covar_samp(a, y) AS ay, covar_samp(b, y) AS yb FROM k)
+    SELECT o_orderkey, round(coalesce(y, my + (ay * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma)
+      + (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb)), 6) AS y FROM o, m""",
+)
+def impute_one_gap(spark, sf_dir):
+    """With gaps in one column only, the fixed point is its regression on the others over the rows without."""
+    a, key = F.col("o_custkey").cast("double"), F.col("o_orderkey")
+    y = F.when(key % 7 != 0, F.col("o_totalprice") / 1000 + F.col("o_custkey") / 10.0)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), (key % 1000).cast("double").alias("b"), y.alias("y"))
+    return M.impute_iterative(rows, ["a", "b", "y"], tolerance=1e-10).select("o_orderkey", F.round("y", 6).alias("y"))
+
+
 @check(
     "decode_nearest",
     f"""WITH {NULLED}, known AS (SELECT prio, (dense_rank() OVER (ORDER BY prio) - 1) AS code FROM

@@ -204,7 +204,8 @@ def impute_unseen(spark, sf_dir):
     plan = M.MissingPlan("regression", ["seg", "bal"])
     plan.coded, plan.whole = ["seg"], ["seg"]
     plan.maps = settle(M.rank_maps(learnt, plan.coded))
-    plan.start, plan.steps = M.fit_regressions(M.rank_encode(learnt, plan.coded, plan.maps).select(*plan.cols), plan.cols)
+    moments, shift = M.pattern_moments(M.rank_encode(learnt, plan.coded, plan.maps).select(*plan.cols), plan.cols)
+    plan.normal = M.fit_normal(M.PatternTable(moments, len(plan.cols)), shift)
     done = plan.transform(df)
     return done.select("c_custkey", F.when(~hole, F.col("seg")).alias("observed"), F.col("seg").isNotNull().alias("filled"))
 

@@ -10,20 +10,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
+from stringwright.operators.moments import Normal, PatternTable, fill_normal, fit_normal, little, pairwise_moments, pattern_moments
 from stringwright.operators.values import join_map, rank_values, small_enough, value_table
 from stringwright.session import settle
 
-MAX_ROUNDS = 10
-TOLERANCE = 1e-3
-RIDGE = 1e-6
-DRIVER_CELLS = 4_000_000
-
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in floating columns becomes null."""
@@ -119,27 +113,6 @@ def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def pairwise_moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``<a, b, mean_a, mean_b, cov>`` over the rows where both columns are present, one pass."""
-    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    covs = [F.covar_samp(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    wide = df.agg(*means, *covs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(cols[i]).alias("a"),
-                F.lit(cols[j]).alias("b"),
-                F.col(f"m{i}").alias("mean_a"),
-                F.col(f"m{j}").alias("mean_b"),
-                F.col(f"c{i}_{j}").alias("cov"),
-            )
-            for i, j in pairs
-        ]
-    )
-    return wide.select(F.inline(rows))
-
-
 def chi_square_tail(x: float, dof: float) -> float:
     """P(chi2 > x) by the series or continued fraction of the incomplete gamma function."""
     if x <= 0 or dof <= 0:
@@ -169,89 +142,16 @@ def chi_square_tail(x: float, dof: float) -> float:
     return min(1.0, h * scale)
 
 
-def pattern_moments(df: DataFrame, cols: list[str]) -> tuple[DataFrame, np.ndarray]:
-    """Per missing pattern: rows, sums and cross products of the columns less their means,
-    nulls counted as 0; and those means. Everything else here follows from this table."""
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    shift = np.array([means[c] if means[c] is not None else 0.0 for c in cols], dtype=float)
-    zero = [F.coalesce(F.col(c).cast("double") - float(m), F.lit(0.0)) for c, m in zip(cols, shift)]
-    cross = [F.sum(x * y) for i, x in enumerate(zero) for y in zero[i:]]
-    table = df.groupBy(pattern_of(cols).alias("pattern")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.array(*[F.sum(x) for x in zero]).alias("s"),
-        F.array(*cross).alias("q"),
-    )
-    return settle(table), shift
-
-
-class PatternTable:
-    """Sums over the pattern table: on the driver while it is small, else in Spark tasks."""
-
-    def __init__(self, table: DataFrame, width: int) -> None:
-        self.table = table
-        cells = (width + 1) * (width + 2) // 2
-        patterns = table.count()
-        self.rows = table.collect() if patterns * cells <= DRIVER_CELLS else None
-
-    def total(self, share, size: int) -> np.ndarray:
-        """Sum over patterns of ``share(pattern, n, s, q)``, a vector of ``size`` numbers."""
-        if self.rows is not None:
-            return sum((share(r["pattern"], r["n"], r["s"], r["q"]) for r in self.rows), np.zeros(size))
-
-        def add(batches):
-            for batch in batches:
-                rows = batch.itertuples(index=False)
-                yield pd.DataFrame({"m": [sum((share(r.pattern, r.n, r.s, r.q) for r in rows), np.zeros(size))]})
-
-        parts = self.table.mapInPandas(add, "m array<double>").select(F.posexplode("m").alias("i", "x"))
-        sums = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(size)
-        for r in sums:
-            out[r["i"]] = r["x"]
-        return out
-
-
-def _little(table: PatternTable, k: int) -> tuple[float, int, float | None]:
-    """Statistic, degrees of freedom and p-value of Little's test from pattern moments."""
-    upper = list(zip(*np.triu_indices(k)))
-
-    def pair_sums(pattern, n, s, q):
-        out = np.zeros((len(upper), 4))
-        for at, (i, j) in enumerate(upper):
-            if pattern[i] == "0" and pattern[j] == "0":
-                out[at] = (n, s[i], s[j], q[at])
-        return out.ravel()
-
-    sums = table.total(pair_sums, 4 * len(upper)).reshape(-1, 4)
-    mean = np.zeros(k)
-    cov = np.zeros((k, k))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for (i, j), (n, si, sj, q) in zip(upper, sums):
-            if i == j:
-                mean[i] = si / n
-            cov[i, j] = cov[j, i] = (q - si * sj / n) / (n - 1)
-
-    def share(pattern, n, s, q):
-        seen = [i for i in range(k) if pattern[i] == "0"]
-        if not seen:
-            return np.zeros(2)
-        gap = np.asarray(s, dtype=float)[seen] / n - mean[seen]
-        try:
-            d2 = n * float(gap @ np.linalg.solve(cov[np.ix_(seen, seen)], gap))
-        except np.linalg.LinAlgError:
-            d2 = math.nan
-        return np.array([d2, len(seen)])
-
-    d2, seen = table.total(share, 2)
-    dof = int(seen) - k
-    return float(d2), dof, None if math.isnan(d2) else chi_square_tail(float(d2), dof)
+def _tested(table: PatternTable, k: int) -> tuple[float, int, float | None]:
+    d2, dof = little(table, k)
+    return d2, dof, None if math.isnan(d2) else chi_square_tail(d2, dof)
 
 
 def mcar_test(df: DataFrame, cols: list[str]) -> DataFrame:
     """Little's test that values are missing completely at random: one row ``<d2, dof, p>``.
     Singular covariances give a null p."""
     table, _ = pattern_moments(df, cols)
-    d2, dof, p = _little(PatternTable(table, len(cols)), len(cols))
+    d2, dof, p = _tested(PatternTable(table, len(cols)), len(cols))
     return df.sparkSession.createDataFrame(
         [(None if math.isnan(d2) else d2, dof, p)], "d2 double, dof bigint, p double"
     )
@@ -294,133 +194,10 @@ def fill_nulls(df: DataFrame, fills: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def _filled_moments(pattern: str, n, s, q, start: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """(1, x)' (1, x) summed over a pattern's rows after the imputation steps so far.
-
-    Within a pattern every imputed column is a linear function of the observed ones, so the
-    moments after imputation follow from the moments of the observed columns.
-    """
-    k = len(start)
-    moments = np.zeros((k + 1, k + 1))
-    moments[0, 0] = n
-    moments[0, 1:] = moments[1:, 0] = s
-    upper = np.triu_indices(k)
-    block = np.zeros((k, k))
-    block[upper] = q
-    moments[1:, 1:] = block + np.triu(block, 1).T
-    rule = np.eye(k + 1)
-    gaps = [i for i, flag in enumerate(pattern) if flag == "1"]
-    for i in gaps:
-        rule[i + 1] = 0.0
-        rule[i + 1, 0] = start[i]
-    for j, beta in steps:
-        if j in gaps:
-            rule[j + 1] = beta @ rule
-    return rule @ moments @ rule.T
-
-
-def _regression(moments: np.ndarray, j: int) -> np.ndarray:
-    """Least-squares coefficients of column j on the constant and the other columns."""
-    others = [i for i in range(len(moments)) if i != j + 1]
-    left = moments[np.ix_(others, others)]
-    scale = np.sqrt(np.maximum(np.diag(left), 1e-12))
-    ridge = np.eye(len(others)) * RIDGE
-    ridge[0, 0] = 0.0
-    solved = np.linalg.lstsq(left / np.outer(scale, scale) + ridge, moments[others, j + 1] / scale, rcond=None)[0]
-    beta = np.zeros(len(moments))
-    beta[others] = solved / scale
-    return beta
-
-
-def fit_regressions(df: DataFrame, cols: list[str], rounds: int = MAX_ROUNDS) -> tuple[list[float], list]:
-    """Iterative regression imputation: starting values and the steps ``(column, coefficients)``.
-
-    Every column with nulls is regressed in turn on all others, over the rows where it is
-    observed, until its coefficients settle. The rows are read only for the pattern table.
-    """
-    moments, shift = pattern_moments(df, cols)
-    return _regressions(PatternTable(moments, len(cols)), shift, rounds)
-
-
-def _regressions(table: PatternTable, shift: np.ndarray, rounds: int = MAX_ROUNDS) -> tuple[list[float], list]:
-    k = len(shift)
-
-    def observed(pattern, n, s, q):
-        return np.array([n * (flag == "0") for flag in pattern] + [n])
-
-    counts = table.total(observed, k + 1)
-    gaps = sorted((j for j in range(k) if 0 < counts[j] < counts[k]), key=lambda j: -counts[j])
-    zeros = np.zeros(k)
-    steps: list[tuple[int, np.ndarray]] = []
-    last: dict[int, np.ndarray] = {}
-    for _ in range(rounds):
-        change = 0.0
-        for j in gaps:
-            done = list(steps)
-
-            def share(pattern, n, s, q, j=j, done=done):
-                if pattern[j] == "1":
-                    return np.zeros((k + 1) ** 2)
-                return _filled_moments(pattern, n, s, q, zeros, done).ravel()
-
-            beta = _regression(table.total(share, (k + 1) ** 2).reshape(k + 1, k + 1), j)
-            if j in last:
-                size = max(1e-12, float(np.max(np.abs(last[j]))))
-                change = max(change, float(np.max(np.abs(beta - last[j]))) / size)
-            else:
-                change = math.inf
-            last[j] = beta
-            steps.append((j, beta))
-        if change < TOLERANCE:
-            break
-    out = []
-    for j, beta in steps:
-        moved = beta.copy()
-        moved[0] += shift[j] - float(beta[1:] @ shift)
-        out.append((j, moved.tolist()))
-    return shift.tolist(), out
-
-
-def apply_regressions(
-    df: DataFrame, cols: list[str], start: list[float], steps: list, whole: list[str] | None = None
-) -> DataFrame:
-    """Fill nulls by replaying fitted steps on Arrow batches of the numeric columns only.
-    Cells that were observed never change; imputed cells of ``whole`` columns are rounded."""
-    plan = [(j, np.array(beta)) for j, beta in steps]
-    base = np.array(start)
-    rounded = [i for i, c in enumerate(cols) if c in (whole or [])]
-
-    def fill(block: pd.DataFrame) -> pd.DataFrame:
-        x = block.to_numpy(dtype=float, na_value=np.nan)
-        gaps = np.isnan(x)
-        x = np.where(gaps, base, x)
-        with_one = np.hstack([np.ones((len(x), 1)), x])
-        for j, beta in plan:
-            hole = gaps[:, j]
-            if hole.any():
-                with_one[hole, j + 1] = with_one[hole] @ beta
-        out = with_one[:, 1:]
-        for j in rounded:
-            out[gaps[:, j], j] = np.round(out[gaps[:, j], j])
-        return pd.DataFrame(out, columns=block.columns)
-
-    schema = ", ".join(f"c{i} double" for i in range(len(cols)))
-    filled = F.pandas_udf(fill, schema)
-    packed = F.struct(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    done = df.withColumn("_filled", filled(packed))
-    place = {c: i for i, c in enumerate(cols)}
-    return done.select(
-        *[
-            F.coalesce(F.col(c).cast("double"), F.col("_filled")[f"c{place[c]}"]).alias(c) if c in place else F.col(c)
-            for c in df.columns
-        ]
-    )
-
-
-def impute_iterative(df: DataFrame, cols: list[str], whole: list[str] | None = None) -> DataFrame:
+def impute_iterative(df: DataFrame, cols: list[str], whole: list[str] | None = None, **options) -> DataFrame:
     """Fill the nulls of numeric columns by iterated regressions on the other columns."""
-    start, steps = fit_regressions(df, cols)
-    return apply_regressions(df, cols, start, steps, whole)
+    table, shift = pattern_moments(df, cols)
+    return fill_normal(df, cols, fit_normal(PatternTable(table, len(cols)), shift, **options), whole)
 
 
 class MissingPlan:
@@ -433,8 +210,7 @@ class MissingPlan:
         self.fills: dict[str, str] = {}
         self.coded: list[str] = []
         self.maps: DataFrame | None = None
-        self.start: list[float] = []
-        self.steps: list = []
+        self.normal: Normal | None = None
         self.whole: list[str] = []
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -448,7 +224,7 @@ class MissingPlan:
         # left out of the regressions
         kept = df.withColumn("_seen", F.struct(*[F.col(c) for c in self.cols]))
         coded = rank_encode(kept, self.coded, self.maps)
-        filled = apply_regressions(coded, self.cols, self.start, self.steps, self.whole)
+        filled = fill_normal(coded, self.cols, self.normal, self.whole)
         decoded = decode_nearest(filled, self.coded, self.maps)
         return decoded.select(
             *[
@@ -475,7 +251,7 @@ def plan_missing(df: DataFrame, types: dict[str, str], cols: list[str] | None =
     maps = settle(rank_maps(df, coded_cols)) if coded_cols else None
     moments, shift = pattern_moments(rank_encode(df, coded_cols, maps).select(*cols), cols)
     table = PatternTable(moments, len(cols))
-    _, _, p = _little(table, len(cols))
+    _, _, p = _tested(table, len(cols))
     plan = MissingPlan("regression", cols)
     plan.p_value = p
     if p is not None and p >= K.MCAR_P_VALUE:
@@ -483,7 +259,7 @@ def plan_missing(df: DataFrame, types: dict[str, str], cols: list[str] | None =
         plan.fills = {r["col"]: r["fill"] for r in column_fill(df, types, cols).collect()}
         return plan
     plan.coded, plan.maps = coded_cols, maps
-    plan.start, plan.steps = _regressions(table, shift)
+    plan.normal = fit_normal(table, shift)
     whole_types = {"integer", "long", "short", "byte"}
     plan.whole = coded_cols + [c for c in cols if df.schema[c].dataType.typeName() in whole_types]
     return plan
