@@ -346,19 +346,19 @@ def impute_observed(spark, sf_dir):
 @check(
     "impute_one_gap",
     """WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS a, (o_orderkey % 1000)::DOUBLE AS b,
-      CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1000 + o_custkey / 10.0 END AS y FROM orders),
+      CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 100 + o_custkey / 10.0 END AS y FROM orders),
     k AS (SELECT * FROM o WHERE y IS NOT NULL),
     m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab,
       covar_samp(a, y) AS ay, covar_samp(b, y) AS yb FROM k)
     SELECT o_orderkey, round(coalesce(y, my + (ay * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma)
-      + (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb)), 6) AS y FROM o, m""",
+      + (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb)), 4) AS y FROM o, m""",
 )
 def impute_one_gap(spark, sf_dir):
     """With gaps in one column only, the fixed point is its regression on the others over the rows without."""
     a, key = F.col("o_custkey").cast("double"), F.col("o_orderkey")
-    y = F.when(key % 7 != 0, F.col("o_totalprice") / 1000 + F.col("o_custkey") / 10.0)
+    y = F.when(key % 7 != 0, F.col("o_totalprice") / 100 + F.col("o_custkey") / 10.0)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), (key % 1000).cast("double").alias("b"), y.alias("y"))
-    return M.impute_iterative(rows, ["a", "b", "y"], tolerance=1e-10).select("o_orderkey", F.round("y", 6).alias("y"))
+    return M.impute_iterative(rows, ["a", "b", "y"], tolerance=1e-12).select("o_orderkey", F.round("y", 4).alias("y"))
 
 
 @check(
