@@ -59,6 +59,8 @@ VIEWS = {
         SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d_iso, lpad(CAST(day(o_orderdate)
         AS STRING),2,'0') || '/' || lpad(CAST(month(o_orderdate) AS STRING),2,'0') || '/' || CAST(year(o_orderdate)
         AS STRING) AS d_eu FROM orders""",
+    "fx_decimal": r"""
+        SELECT c_custkey, CAST(c_acctbal AS STRING) AS balance_text FROM customer""",
     "fx_bool": r"""
         SELECT o_orderkey, CASE WHEN o_orderstatus='F' THEN 'yes' ELSE 'no' END AS done, CASE WHEN
         o_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender FROM orders""",

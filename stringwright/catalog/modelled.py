@@ -273,6 +273,58 @@ def grid(spark, sf_dir):
     return L.grid_search(training_features(spark, sf_dir))
 
 
+PARTS_SQL = " UNION ".join(
+    f"SELECT '{col}' AS source, '{col}#' || ({md5_32(f'{key}::VARCHAR')} % {PARTS}) AS col, {label} AS label FROM {name}" for name, col, key, label in TRAINING
+)
+
+
+@check("loo_rows", f"SELECT col, label, TRUE AS known, 100.0::DOUBLE AS percent FROM ({PARTS_SQL}) t")
+def loo_rows(spark, sf_dir):
+    """Every training row is predicted once, one class or the other, by a model with a score."""
+    found = L.leave_one_out(training_features(spark, sf_dir), trees=20)
+    known = F.col("prediction").isin(0, 1) & ((F.col("score") > 0.5) == (F.col("prediction") == 1))
+    return found.groupBy("col", "label").agg(F.bool_and(known).alias("known"), (F.count(F.lit(1)) * 100.0).alias("percent"))
+
+
+@check(
+    "grid_points",
+    f"""SELECT step, trees, TRUE AS whole FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in L.GRID_STEPS)}]) AS step) s,
+      (SELECT unnest([{', '.join(str(x) for x in L.GRID_TREES)}]) AS trees) t""",
+)
+def grid_points(spark, sf_dir):
+    """Every point of the search has the share of an integral number of rows."""
+    features = training_features(spark, sf_dir)
+    right = F.col("accuracy") * features.count()
+    whole = (F.abs(right - F.round(right)) < 1e-6) & F.col("accuracy").between(0, 1)
+    return L.grid_search(features, folds=6).select("step", "trees", whole.alias("whole"))
+
+
+@check("holdout_rows", f"SELECT col, label, TRUE AS known FROM ({PARTS_SQL}) t WHERE source IN ('p_brand', 'qty_band', 'lang')")
+def holdout_rows(spark, sf_dir):
+    found = L.hold_out(training_features(spark, sf_dir), "source", ["p_brand", "qty_band", "lang"], trees=10)
+    return found.select("col", "label", F.col("prediction").isin(0, 1).alias("known"))
+
+
+@check("split_rows", f"SELECT col, label, {md5_32("'1|' || col")} % 1000000 < 700000 AS learnt FROM ({PARTS_SQL}) t")
+def split_rows(spark, sf_dir):
+    """The rows that the classifier learns from and those it is asked about."""
+    learnt, asked = L.split_train_test(training_features(spark, sf_dir))
+    asked = L.predict(asked, L.train(learnt, trees=5)).where(F.col("prediction").isin(0, 1))
+    side = lambda rows, known: rows.select("col", "label", F.lit(known).alias("learnt"))
+    return side(learnt, True).unionByName(side(asked, False))
+
+
+@check("model_round_trip", f"SELECT col, label, TRUE AS same FROM ({PARTS_SQL}) t")
+def model_round_trip(spark, sf_dir):
+    """A saved and loaded model scores every row as the one that was saved."""
+    rows = training_features(spark, sf_dir)
+    model, path = L.train(rows, trees=20), work_folder(spark) + "/model"
+    L.save_model(model, path)
+    loaded = L.predict(rows, L.load_model(path)).select("col", F.col("score").alias("again"), F.col("prediction").alias("predicted"))
+    same = (F.col("score") == F.col("again")) & (F.col("prediction") == F.col("predicted"))
+    return L.predict(rows, model).join(loaded, "col").select("col", "label", same.alias("same"))
+
+
 SCORED = """scored AS (SELECT quality AS label, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS prediction,
       round(n_chars / 500.0, 0) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 

@@ -209,6 +209,24 @@ def coord_parse(spark, sf_dir):
     return pairs.unionByName(single)
 
 
+@check(
+    "coord_letter_last",
+    """SELECT s_suppkey, round(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END * (s_suppkey % 89 + (s_suppkey % 60) / 60.0 + 30.5 / 3600), 6) AS lat,
+      round(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE -1 END * (s_suppkey % 179 + 15 / 60.0 + (s_suppkey % 50) / 3600.0), 6) AS lon,
+      CASE s_suppkey % 4 WHEN 0 THEN -1 ELSE 1 END * (1 + s_suppkey % 80)::DOUBLE AS alone FROM supplier""",
+)
+def coord_letter_last(spark, sf_dir):
+    """Pairs and single coordinates whose letters stand behind the numbers."""
+    key = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    lat = F.concat(text(key % 89), F.lit("º "), text(key % 60), F.lit("' 30.5\" "), F.when(key % 2 == 0, "N").otherwise("S"))
+    lon = F.concat(text(key % 179), F.lit("º 15' "), text(key % 50), F.lit("\" "), F.when(key % 3 == 0, "O").otherwise("W"))
+    alone = F.concat(text(1 + key % 80), F.lit("º 0' 0\" "), F.when(key % 4 == 0, "Z").otherwise("N"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", lat, lon).alias("pair"), alone.alias("alone"))
+    pair, single = X.coordinate_degrees(F.col("pair")), X.coordinate_degrees(F.col("alone"))
+    return rows.select("s_suppkey", F.round(pair[0], 6).alias("lat"), F.round(pair[1], 6).alias("lon"), F.round(single[0], 6).alias("alone"))
+
+
 @check("coord_xyz", COORDS_SQL + f" SELECT s_suppkey, {XYZ_SQL} FROM deg")
 def coord_xyz(spark, sf_dir):
     pair = X.coordinate_degrees(F.col("coord"))

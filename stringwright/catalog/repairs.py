@@ -377,6 +377,17 @@ def decode_nearest(spark, sf_dir):
     return M.decode_nearest(guess, ["x"], maps)
 
 
+@check(
+    "missing_plan_rows",
+    f"""SELECT 'fx_missing' AS view, count(*) AS n, 0::BIGINT AS incomplete, FALSE AS dropped FROM fx_missing
+      UNION ALL SELECT 'fx_rare_missing', count(*) FILTER (prio NOT IN {NA}), 0, TRUE FROM fx_rare_missing
+      UNION ALL SELECT 'fx_typo', count(*), 0, FALSE FROM fx_typo""",
+)
+def missing_plan_rows(spark, sf_dir):
+    """Few incomplete rows are dropped, many are filled, complete tables stay; nothing is left incomplete."""
+    return missing_plan(spark, sf_dir).select("view", "n", "incomplete", (F.col("strategy") == "drop").alias("dropped"))
+
+
 @check("missing_plan")
 def missing_plan(spark, sf_dir):
     """The strategy chosen for each fixture, and the rows and nulls after applying it."""

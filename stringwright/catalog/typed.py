@@ -32,6 +32,7 @@ LABELLED = [
     ("fx_dms", "dms", "coordinate"),
     ("fx_dates", "d_iso", "date-iso-8601"),
     ("fx_dates", "d_eu", "date-eu"),
+    ("fx_decimal", "balance_text", "float"),
     ("fx_bool", "done", "boolean"),
     ("fx_bool", "gender", "gender"),
     ("fx_missing", "prio", "string"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stringwright.catalog.fixtures import table
-from stringwright.catalog.modelled import DIMS, PLAIN
+from stringwright.catalog.modelled import DIMS, PLAIN, training_features
 from stringwright.catalog.registry import check, in_list
 from stringwright.catalog.repairs import SPOILED, value_counts
 from stringwright.catalog.typed import labelled, labelled_sql, long_rows, types_sql
@@ -111,6 +111,35 @@ def clean_only(spark, sf_dir):
     return flat(orders_cleaner(spark, sf_dir, encode=False).fit(df).transform(df))
 
 
+@check(
+    "clean_observed",
+    """SELECT o.o_orderkey, price, CASE WHEN month(strptime(d_iso, '%Y-%m-%d')) IS NOT NULL THEN epoch(strptime(d_iso, '%Y-%m-%d'))::BIGINT END AS d_iso,
+      epoch(strptime(d_eu, '%d/%m/%Y'))::BIGINT AS d_eu, (done = 'yes')::INT AS done, (gender = 'M')::INT AS gender FROM fx_orders_wide o""",
+)
+def clean_observed(spark, sf_dir):
+    """Cleaning only: columns without gaps or misspellings come out as their rules say, for every row."""
+    df = table(spark, sf_dir, "fx_orders_wide")
+    done = orders_cleaner(spark, sf_dir, encode=False).fit(df).transform(df)
+    return done.select("o_orderkey", "price", *[F.col(c).cast("long").alias(c) for c in ("d_iso", "d_eu")], *[F.col(c).cast("int").alias(c) for c in ("done", "gender")])
+
+
+@check(
+    "trained_job",
+    "SELECT c_custkey, round(c_acctbal, 4) AS balance, TRUE AS coded, TRUE AS asked FROM customer",
+)
+def trained_job(spark, sf_dir):
+    """The whole job with a trained classifier: text columns it calls ordered get one number, others a
+    vector, as the classifier itself says of the job's features."""
+    classifier = L.train(training_features(spark, sf_dir), trees=20)
+    df = table(spark, sf_dir, "fx_customer_wide").select("c_custkey", "balance", "segment", "seg")
+    model = orders_cleaner(spark, sf_dir, ordinality_model=classifier, plain_strings=True).fit(df)
+    said = {r["col"]: r["prediction"] for r in L.predict(model.predictions.drop("score", "prediction", "rawPrediction", "probability", "features"), classifier).collect()}
+    done = model.transform(df)
+    ordered = all((done.schema[c].dataType.typeName() != "array") == (p == 0) for c, p in said.items() if c in done.columns)
+    filled = F.col("segment").isNotNull() & F.col("seg").isNotNull()
+    return done.select("c_custkey", F.round("balance", 4).alias("balance"), filled.alias("coded"), F.lit(ordered and len(said) == 2).alias("asked"))
+
+
 @check("clean_encode")
 def clean_encode(spark, sf_dir):
     df = table(spark, sf_dir, "fx_customer_wide")
