@@ -189,27 +189,44 @@ def _compared(x: int, others: np.ndarray, n: np.ndarray, least: list[np.ndarray]
     return np.where(sure, linked, close), sure & linked, common / union
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members in groups (key, i, j) of those of block ``own`` = i and of ``own`` = j that are to be compared.
+
+    The members of a bucket's largest component need no comparison among themselves: each goes to one
+    block of ``BLOCK``, and the members of all other components, the strays (i = -1), to every such
+    block. Strays are compared among themselves by pairs of blocks. So a large component costs one row
+    a member and each stray one row a block, and no bucket meets in one task.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", -F.col("component"))).alias("top"), F.sum("n").alias("all"))
+    of = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    sized = largest.select(
+        "key", (-F.col("top.col2")).alias("main"), of(F.col("top.n")).alias("blocks"), of(F.col("all") - F.col("top.n")).alias("stray_blocks")
+    )
+    kept = [c for c in members.columns if c != "key"]
+    rows = members.join(sized, "key")
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    shape = lambda df, i, j, own: df.select("key", i.alias("i"), j.alias("j"), own.alias("own"), *kept)
+    outside, none = F.lit(-1), F.col("component") == F.col("main")
+    main = rows.where(none).withColumn("own", at("blocks"))
+    strays = rows.where(~none)
+    met = strays.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    among = strays.withColumn("own", at("stray_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return (
+        shape(main, outside, F.col("own"), F.col("own"))
+        .union(shape(met, outside, F.col("other"), outside))
+        .union(shape(among, low, high, F.col("own")))
+    )
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b, sure) between one bucket's members that lie in different components.
 
-    ``members`` (key, pos, n_members, rep, component, n_shingles, bands, least). Buckets are cut into
-    blocks of ``BLOCK`` members and every pair of blocks is one group, so that no bucket meets in one
-    task. A pair is looked at in the first bucket it shares. Of the sure links of a member with a
+    ``members`` (key, pos, rep, component, n_shingles, bands, least), dealt out in groups. A pair is looked at in the first bucket it shares. Of the sure links of a member with a
     component one is given, which joins the two; pairs whose sketches are samples are given unsure.
     """
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = (
-        members.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            "own", "pos", "rep", "component", "n_shingles", "bands", "least",
-        )
-    )
+    rows = _dealt(members)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(table: pa.Table) -> list[tuple[int, int, bool]]:

@@ -28,6 +28,8 @@ WEAK = {
 KINDS = (*BASE, *WEAK)
 #: What each kind is a part of, for linking.
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "key": "secret", "endpoint": "endpoint"}
+#: Matches that are given their places together.
+CHUNK = 256
 #: Characters between parts that still belong to one scope.
 SCOPE = 200
 
@@ -40,8 +42,6 @@ def _found(text: Column, kind: str, pattern: str, least: tuple[int, int] | None
     matches = F.regexp_extract_all(text, F.lit(pattern), 1)
     between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
     lengths = F.transform(matches, lambda s: F.length(s))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"))
-
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + pair["gap"]
         end = begin + pair["size"]
@@ -59,7 +59,19 @@ def _found(text: Column, kind: str, pattern: str, least: tuple[int, int] | None
         F.arrays_zip(lengths.alias("size"), F.slice(between, F.lit(1), F.size(matches)).alias("gap"), good.alias("good")),
         lambda z: F.struct(z["size"].alias("size"), z["gap"].alias("gap"), z["good"].alias("good")),
     )
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    # a fold copies what it has found at every match, so matches are folded by chunks, each from where it starts
+    def folded(x: Column) -> Column:
+        chunk = lambda c: F.slice(x["pairs"], c * CHUNK + 1, CHUNK)
+        chunks = F.sequence(F.lit(0), F.floor(F.size(x["pairs"]) / CHUNK).cast("int"))
+        sizes = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), lambda n, p: n + p["gap"] + p["size"]))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda found, n: F.array_append(found, F.element_at(found, -1) + n))
+        begun = F.arrays_zip(chunks.alias("c"), F.slice(starts, F.lit(1), F.size(chunks)).alias("at"))
+        begin = lambda z: F.struct(z["at"].alias("at"), none.alias("out"))
+        return F.flatten(F.transform(begun, lambda z: F.aggregate(chunk(z["c"]), begin(z), step, lambda s: s["out"])))
+
+    return F.transform(F.array(F.struct(pairs.alias("pairs"))), folded)[0]
 
 
 def _searched(text: Column, needed: list[Column], spans: Column) -> Column:
