@@ -18,40 +18,46 @@ from stringwright.llm.store import settle, ship, small
 from stringwright.llm.token_files import token_files
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, bad: Column) -> DataFrame:
-    """Rows of ``docs`` whose id no bad verdict names. A null id names nothing: such rows are no
-    verdict's and stay."""
-    ids = settle(verdicts.where(bad & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "bad")
-    return docs.join(small(ids, 8), "doc_id", "left_anti").select(docs.columns)
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows whose doc_id is a hash of their id and text, so that every row follows its own verdict,
+    also where ids are null or repeated; only equal rows share one."""
+    return docs.withColumn("doc_id", F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, name: Column, verdicts: DataFrame, bad: Column) -> DataFrame:
+    """Rows of ``docs`` whose ``name`` no bad verdict bears."""
+    names = settle(verdicts.where(bad).select(F.col("doc_id").alias("_name")).distinct(), "bad")
+    return docs.join(small(names, 8), name == F.col("_name"), "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base limits or stand out among their language and source go.
 
-    A null or empty text has too few words and goes. Rows that share an id go together when one of
-    them is rejected; rows without an id cannot be named and stay, here and in the next two stages.
+    A null or empty text has too few words and goes. Null and repeated ids do no harm here and in the
+    next two stages: rows are told apart by id and text, and equal rows share their verdict.
     """
-    return _without(docs, judged(docs), ~F.col("kept"))
+    return _without(docs, F.xxhash64("doc_id", "text"), judged(_named(docs)), ~F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id.
-
-    Rows that share an id, as repeated rows do, leave one row, the first by its columns in order; rows without an id are not compared and stay.
+    """One document of each group of near-duplicates stays: the one with the smallest id, where a row
+    without id, or whose id other rows have, counts by a hash of its id and text. Of equal rows one stays.
     """
-    kept = _without(docs, near_duplicates(docs), ~F.col("kept"))
-    twice = settle(kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    twice = settle(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "twice")
     if not twice.limit(1).count():
-        return kept
-    single = kept.join(small(twice, 8), "doc_id", "left_anti")
-    first = kept.join(small(twice, 8), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.select(docs.columns).union(first.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
+        return _without(docs, F.col("doc_id"), near_duplicates(docs), ~F.col("kept"))
+    odd = docs.join(small(twice, 8), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    even = docs.join(small(twice, 8), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    odd = odd.dropDuplicates(["doc_id", "text"]).withColumn("_node", F.xxhash64("doc_id", "text"))
+    named = settle(even.withColumn("_node", F.col("doc_id")).unionByName(odd), "named")
+    verdicts = near_duplicates(named.select(F.col("_node").alias("doc_id"), "text"))
+    return _without(named, F.col("_node"), verdicts, ~F.col("kept")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination(docs, benchmark), F.col("contaminated"))
+    return _without(docs, F.xxhash64("doc_id", "text"), contamination(_named(docs), benchmark), F.col("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
