@@ -17,7 +17,8 @@ from stringwright.operators import report as R
 from stringwright.operators import types as T
 from stringwright.operators import values as V
 from stringwright.plans.cleaner import StringCleaner
-from stringwright.session import settle
+from stringwright.plans.stored import load_cleaner, save_cleaner
+from stringwright.session import settle, work_folder
 
 ORDER_TEXTS = [("fx_orders_wide", c, "") for c in ("status", "prio", "month", "d_iso", "d_eu", "done", "gender")]
 LISTS_SQL = """outl AS (SELECT col, count(*) AS n, min(value) AS a, max(value) AS z, list_sort(list(value)) AS every
@@ -140,6 +141,19 @@ def trained_job(spark, sf_dir):
     return done.select("c_custkey", F.round("balance", 4).alias("balance"), filled.alias("coded"), F.lit(ordered and len(said) == 2).alias("asked"))
 
 
+@check("stored_job", "SELECT c_custkey, TRUE AS same FROM customer")
+def stored_job(spark, sf_dir):
+    """A saved and loaded job gives every row what the fitted one gives it."""
+    df = table(spark, sf_dir, "fx_customer_wide")
+    model, path = orders_cleaner(spark, sf_dir, plain_strings=True, dense=False).fit(df), work_folder(spark) + "/job"
+    save_cleaner(model, path)
+    row = lambda done: F.to_json(F.struct(*[c for c in done.columns if c != "c_custkey"]))
+    first, second = model.transform(df), load_cleaner(spark, path).transform(df)
+    again = second.select("c_custkey", row(second).alias("again"))
+    same = (F.col("row") == F.col("again")) & F.lit(first.schema.simpleString() == second.schema.simpleString())
+    return first.select("c_custkey", row(first).alias("row")).join(again, "c_custkey").select("c_custkey", same.alias("same"))
+
+
 @check("clean_encode")
 def clean_encode(spark, sf_dir):
     df = table(spark, sf_dir, "fx_customer_wide")
