@@ -101,16 +101,13 @@ def decode_nearest(df: DataFrame, cols: list[str], maps: DataFrame) -> DataFrame
     return reduce(one, cols, df)
 
 
-def pattern_of(cols: list[str]) -> Column:
-    """One character per column: 1 where null."""
-    return F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
-
-
 def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``<pattern, n, mean_<col>...>``: rows and means of the observed columns per pattern."""
-    return df.groupBy(pattern_of(cols).alias("pattern")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in cols]
-    )
+    """``<pattern, n, mean_<col>...>``: rows and means of the observed columns per pattern, one character
+    per column: 1 where null."""
+    table, shift = pattern_moments(df, cols)
+    seen = lambda i: F.substring("pattern", i + 1, 1) == "0"
+    means = [F.when(seen(i), F.col("s")[i] / F.col("n") + float(x)).alias(f"mean_{c}") for i, (c, x) in enumerate(zip(cols, shift))]
+    return table.select("pattern", F.col("n").cast("bigint").alias("n"), *means)
 
 
 def chi_square_tail(x: float, dof: float) -> float:

@@ -40,16 +40,32 @@ def demoted_columns(values: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
+def _with_totals(labelled: DataFrame) -> DataFrame:
+    """Labelled values with the totals of their column and whether it has anomalies (``_spoiled``)."""
+    spoiled = labelled.where(F.col("label") == "anomaly").select("col").distinct().withColumn("_bad", F.lit(True))
+    known = labelled.join(F.broadcast(column_totals(labelled)), "col").join(F.broadcast(spoiled), "col", "left")
+    return known.withColumn("_spoiled", F.col("_bad").isNotNull()).drop("_bad")
+
+
+def is_plain(registry: TypeRegistry) -> Column:
+    """A column of a plain data type: neither a string feature nor text."""
+    return ~F.col("type").isin(registry.features) & (F.col("type") != "string")
+
+
+def is_anomaly_candidate(registry: TypeRegistry) -> Column:
+    rare = is_rare(F.col("n"), F.col("total"), F.col("distinct_values"))
+    return (F.col("label") == "anomaly") & (F.col("type") != "sentence") & (rare | is_plain(registry))
+
+
+def is_infrequent_candidate(registry: TypeRegistry, plain_strings: bool) -> Column:
+    kinds = [t for t in registry.features if t != "sentence"] + (["string"] if plain_strings else [])
+    return F.col("type").isin(kinds) & is_rare(F.col("n"), F.col("total"), F.col("distinct_values")) & ~F.col("_spoiled")
+
+
 def anomaly_candidates(labelled: DataFrame, registry: TypeRegistry = DEFAULT_TYPES) -> DataFrame:
     """Anomalies worth repairing, from ``<col, value, n, type, label>``: rare ones, and all
     of them in columns of a plain data type."""
-    known = labelled.join(F.broadcast(column_totals(labelled)), "col")
-    plain = ~F.col("type").isin(registry.features) & (F.col("type") != "string")
-    return known.where(
-        (F.col("label") == "anomaly")
-        & (F.col("type") != "sentence")
-        & (is_rare(F.col("n"), F.col("total"), F.col("distinct_values")) | plain)
-    ).select("col", "value", "n", "type")
+    return _with_totals(labelled).where(is_anomaly_candidate(registry)).select("col", "value", "n", "type")
 
 
 def infrequent_candidates(
@@ -57,16 +73,7 @@ def infrequent_candidates(
 ) -> DataFrame:
     """Rare values of anomaly-free columns of a string-feature type (optionally also of
     plain text columns)."""
-    kinds = [t for t in registry.features if t != "sentence"] + (["string"] if plain_strings else [])
-    spoiled = labelled.where(F.col("label") == "anomaly").select("col").distinct()
-    known = labelled.join(F.broadcast(column_totals(labelled)), "col")
-    return (
-        known.where(
-            F.col("type").isin(kinds) & is_rare(F.col("n"), F.col("total"), F.col("distinct_values"))
-        )
-        .join(F.broadcast(spoiled), "col", "left_anti")
-        .select("col", "value", "n", "type")
-    )
+    return _with_totals(labelled).where(is_infrequent_candidate(registry, plain_strings)).select("col", "value", "n", "type")
 
 
 def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
@@ -336,29 +343,17 @@ def repair_pairs(
     In text columns the rarer value must be less than 5% as frequent as the commoner. In
     columns of a plain data type an anomaly goes to any similar value that is not one.
     """
-    known = labelled.join(F.broadcast(column_totals(labelled)), "col")
-    spoiled = labelled.where(F.col("label") == "anomaly").select("col").distinct()
-    known = known.join(F.broadcast(spoiled.withColumn("_spoiled", F.lit(True))), "col", "left").withColumn(
-        "_spoiled", F.coalesce("_spoiled", F.lit(False))
-    )
-    rare = is_rare(F.col("n"), F.col("total"), F.col("distinct_values"))
-    is_anomaly = F.col("label") == "anomaly"
-    feature = F.col("type").isin([t for t in registry.features if t != "sentence"])
-    gate = feature | (F.col("type") == "string") if plain_strings else feature
-    textual = feature | (F.col("type") == "string")
-
-    text_suspect = textual & rare & F.when(F.col("_spoiled"), is_anomaly).otherwise(gate)
+    known = _with_totals(labelled)
+    anomalous, plain = is_anomaly_candidate(registry), is_plain(registry)
     by_ratio = partner_candidates(
-        known.where(textual),
+        known.where(~plain & (F.col("type") != "sentence")),
         drop_last=drop_last,
-        suspect=text_suspect,
+        suspect=anomalous | is_infrequent_candidate(registry, plain_strings),
         accept=far_rarer,
         heavy=heavy,
     )
-    plain = ~F.col("type").isin(registry.features) & (F.col("type") != "string")
-    by_type = partner_candidates(
-        known.where(plain), drop_last=drop_last, suspect=is_anomaly, target=~is_anomaly, heavy=heavy
-    )
+    is_anomaly = F.col("label") == "anomaly"
+    by_type = partner_candidates(known.where(plain), drop_last=drop_last, suspect=anomalous, target=~is_anomaly, heavy=heavy)
     return without_chains(best_partner(by_ratio.unionByName(by_type)))
 
 
