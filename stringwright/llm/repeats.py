@@ -34,6 +34,8 @@ REACH = 128
 GRAM = 16
 BLOCK = 16
 PREFIX = LENGTH - REACH + 1
+#: Windows of a text that are tied to anchors at once; places take 26 bits.
+SPAN = 1 << 25
 
 _ODD = U(0xC2B2AE3D27D4EB4F)
 
@@ -50,8 +52,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data) - GRAM + 1
     place = np.arange(n, dtype=U)
     low = U((1 << 26) - 1)
-    if n > int(low):
-        raise ValueError("a text of more than 64 MB")
     least = (span_hash(sums, np.arange(n), np.arange(GRAM, n + GRAM)) & ~low) | place
     step = 1
     while step < REACH:
@@ -91,22 +91,34 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, U).view(np.int64))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
+def _parts(data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Where a part begins, its bytes, its text limits. A slice of one text with more than ``span``
+    windows is cut by windows: parts overlap by all but one byte of a window."""
+    if len(offsets) > 2 or len(data) - LENGTH < span:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - LENGTH + 1, span):
+        part = data[at : at + span + LENGTH - 1]
+        yield at, part, np.array([0, len(part)], np.int64)
+
+
+def _runs(texts: DataFrame, span: int) -> DataFrame:
     """node, place, prefix, run: every anchor with the hashes of what follows it and of its windows' run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
-                text, anchor, first, last = anchors(data, offsets)
-                if not len(text):
-                    continue
-                sums = prefix_sums(data)
-                prefix = span_hash(sums, anchor, anchor + PREFIX)
-                run = _with(span_hash(sums, first, last + LENGTH), anchor - first, anchor - last)
-                begin = offsets[text]
-                nodes = batch.column(0).slice(a, b - a).to_numpy()[text]
-                place = _packed(anchor - begin, first - begin, last - begin)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(place), _signed(prefix), _signed(run)], ["node", "place", "prefix", "run"])
+                nodes = batch.column(0).slice(a, b - a).to_numpy()
+                for at, part, limits in _parts(data, offsets, span):
+                    text, anchor, first, last = anchors(part, limits)
+                    if not len(text):
+                        continue
+                    sums = prefix_sums(part)
+                    prefix = span_hash(sums, anchor, anchor + PREFIX)
+                    run = _with(span_hash(sums, first, last + LENGTH), anchor - first, anchor - last)
+                    begin = limits[text] - at
+                    place = _packed(anchor - begin, first - begin, last - begin)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[text]), pa.array(place), _signed(prefix), _signed(run)], ["node", "place", "prefix", "run"])
 
     return texts.select("node", "text").mapInArrow(cut, "node long, place long, prefix long, run long")
 
@@ -265,14 +277,15 @@ def _run_windows(place: str | Column) -> tuple[Column, Column]:
     return anchor - F.shiftright(place, 7).bitwiseAND(F.lit(127)), anchor - place.bitwiseAND(F.lit(127))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text).
 
     A byte goes if a string of ``LENGTH`` bytes that covers it starts at another place, too; strings do
     not cross texts and are judged on the input. Texts with an equal one lose everything and stand for
     each other in the search. Null and empty texts lose nothing; repeated rows are copies of each
     other; null ids and ids with several texts are told apart by text; an empty table gives no rows;
-    other columns are ignored. Strings are told apart by 128 bits of hashes.
+    other columns are ignored. Strings are told apart by 128 bits of hashes. Texts may have any length;
+    those with more than ``span`` (2**25 at most) windows are tied to anchors part by part.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -295,7 +308,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     others = settle(others, "others")
     texts = named(docs.withColumn("mark", F.xxhash64("text"))).join(small(others, 8), "node", "left_anti")
     texts = texts.where(F.octet_length("text") >= LENGTH).select("node", "text")
-    runs = settle(_runs(texts), "runs")
+    runs = settle(_runs(texts, span), "runs")
     heads = settle(runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "heads")
     open_runs = settle(runs.join(heads, "prefix"), "open")
     alike = settle(open_runs.select("node").distinct(), "alike")
