@@ -59,7 +59,30 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query("op1_near_dedup")
+@query(
+    "op1_near_dedup",
+    r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(list_transform(range(greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least_id AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN least_id c ON s.doc_id = c.doc_id
+""",
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -136,7 +159,34 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("distance", "grp")
 
 
-@query("op2_decontaminate")
+@query(
+    "op2_decontaminate",
+    r"""
+WITH words AS (
+    SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+), item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS phrase
+    FROM item_words WHERE len(w) > 0
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), starts AS (
+    SELECT doc_id, size, unnest(range(len(w) - size + 1)) AS place, w FROM words, sizes WHERE len(w) >= size
+), found AS (
+    SELECT s.doc_id, s.place, s.size, x.item_id FROM starts s JOIN windows x ON x.size = s.size AND x.phrase = array_to_string(w[place + 1:place + s.size], ' ')
+), hits AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + size)) AS word FROM found) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM found WHERE item_id IS NOT NULL GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN items i ON i.doc_id = w.doc_id
+""",
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -147,7 +197,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"), held_out)
 
 
-@query("op3_repeats")
+@query(
+    "op3_repeats",
+    r"""
+WITH texts AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+    SELECT doc_id, b, unnest(range(1, n - 398)) AS s FROM texts WHERE n >= 400
+), named AS (
+    SELECT doc_id, s, md5(array_slice(b, s, s + 399)) AS name FROM starts
+), twice AS (
+    SELECT doc_id, s FROM named WHERE name IN (SELECT name FROM named GROUP BY name HAVING count(*) > 1)
+), islands AS (
+    SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM (
+        SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (
+            SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM twice))
+    GROUP BY doc_id, island
+), gone AS (
+    SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM islands GROUP BY doc_id
+), pieces AS (
+    SELECT i.doc_id, lo AS place, array_slice(b, coalesce(lag(hi) OVER (PARTITION BY i.doc_id ORDER BY lo), 1), lo - 1) AS piece
+    FROM islands i JOIN texts t ON t.doc_id = i.doc_id
+    UNION ALL SELECT t.doc_id, n + 1, array_slice(b, max(hi), n) FROM islands i JOIN texts t ON t.doc_id = i.doc_id GROUP BY t.doc_id, b, n
+), kept AS (
+    SELECT doc_id, list_reduce(list(piece ORDER BY place), lambda x, y: x || y) AS b FROM pieces GROUP BY doc_id
+)
+SELECT t.doc_id, t.n AS n_bytes, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, coalesce(g.n_spans, 0) AS n_spans,
+       sha256(coalesce(k.b, t.b)) AS kept_sha256
+FROM texts t LEFT JOIN gone g ON g.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+""",
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
