@@ -19,13 +19,15 @@ SENTENCE_WORD = r"[\w&.,;:?!/\-\s()" + SENTENCE_EXTRA + "]"
 SENTENCE_GAP = r"[\s+.,;:?!%—–]"
 
 # Letters before the digits of a British postcode.
-UK_AREAS = (
-    "AB AL B BA BB BD BH BL BN BR BS BT CA CB CF CH CM CO CR CT CV CW DA DD DE DG DH DL DN DT "
-    "DY E EC EH EN EX FK FY G GL GY GU HA HD HG HP HR HS HU HX IG IM IP IV JE KA KT KW KY L LA "
-    "LD LE LL LN LS LU M ME MK ML N NE NG NN NP NR NW OL OX PA PE PH PL PO PR RG RH RM S SA SE "
-    "SG SK SL SM SN SO SP SR SS ST SW SY TA TD TF TN TQ TR TS TW UB W WA WC WD WF WN WR WS WV "
-    "YO ZE"
-).split()
+UK_AREAS = [
+    "AB", "AL", "B", "BA", "BB", "BD", "BH", "BL", "BN", "BR", "BS", "BT", "CA", "CB", "CF", "CH", "CM", "CO",
+    "CR", "CT", "CV", "CW", "DA", "DD", "DE", "DG", "DH", "DL", "DN", "DT", "DY", "E", "EC", "EH", "EN", "EX",
+    "FK", "FY", "G", "GL", "GY", "GU", "HA", "HD", "HG", "HP", "HR", "HS", "HU", "HX", "IG", "IM", "IP", "IV",
+    "JE", "KA", "KT", "KW", "KY", "L", "LA", "LD", "LE", "LL", "LN", "LS", "LU", "M", "ME", "MK", "ML", "N", "NE",
+    "NG", "NN", "NP", "NR", "NW", "OL", "OX", "PA", "PE", "PH", "PL", "PO", "PR", "RG", "RH", "RM", "S", "SA",
+    "SE", "SG", "SK", "SL", "SM", "SN", "SO", "SP", "SR", "SS", "ST", "SW", "SY", "TA", "TD", "TF", "TN", "TQ",
+    "TR", "TS", "TW", "UB", "W", "WA", "WC", "WD", "WF", "WN", "WR", "WS", "WV", "YO", "ZE",
+]
 UK_INWARD = r"\d[\dA-Z]? ?\d[ABD-HJLN-UW-Z]{2}"
 
 # National postal code formats.
