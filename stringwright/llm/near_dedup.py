@@ -190,43 +190,48 @@ def _compared(x: int, others: np.ndarray, n: np.ndarray, least: list[np.ndarray]
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """Members in groups (key, i, j) of those of block ``own`` = i and of ``own`` = j that are to be compared.
-
-    The members of a bucket's largest component need no comparison among themselves: each goes to one
-    block of ``BLOCK``, and the members of all other components, the strays (i = -1), to every such
-    block. Strays are compared among themselves by pairs of blocks. So a large component costs one row
-    a member and each stray one row a block, and no bucket meets in one task.
+    """key, i, j, own, pos, rep, component: members in groups (key, i, j) of those of block ``own`` = i and
+    of ``own`` = j that are to be compared.
+
+    A bucket of up to ``BLOCK`` members is one group. In a larger one the members of its largest component
+    need no comparison among themselves: each goes to one block of ``BLOCK``, and the members of all other
+    components, the strays (i = -1), to every such block. Strays of several components are compared among
+    themselves by pairs of blocks. So a large component costs one row a member and each stray one row a
+    block, and no bucket meets in one task.
     """
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", -F.col("component"))).alias("top"), F.sum("n").alias("all"))
+    top = F.max(F.struct("n", (-F.col("component")).alias("minus"))).alias("top")
+    sized = counts.groupBy("key").agg(top, F.sum("n").alias("all"), F.count("*").alias("components"))
     of = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
-    sized = largest.select(
-        "key", (-F.col("top.col2")).alias("main"), of(F.col("top.n")).alias("blocks"), of(F.col("all") - F.col("top.n")).alias("stray_blocks")
+    sized = sized.select(
+        "key", "all", "components", (-F.col("top.minus")).alias("main"), of(F.col("top.n")).alias("blocks"), of(F.col("all") - F.col("top.n")).alias("stray_blocks")
     )
-    kept = [c for c in members.columns if c != "key"]
-    rows = members.join(sized, "key")
+    rows = settle(members.select("key", "pos", "rep", "component").join(sized, "key"), "sized")
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    shape = lambda df, i, j, own: df.select("key", i.alias("i"), j.alias("j"), own.alias("own"), *kept)
-    outside, none = F.lit(-1), F.col("component") == F.col("main")
-    main = rows.where(none).withColumn("own", at("blocks"))
-    strays = rows.where(~none)
-    met = strays.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    among = strays.withColumn("own", at("stray_blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shape = lambda df, i, j, own: df.select("key", i.alias("i"), j.alias("j"), own.alias("own"), "pos", "rep", "component")
+    outside, zero, few = F.lit(-1), F.lit(0), F.col("all") <= BLOCK
+    is_main = F.col("component") == F.col("main")
+    main = rows.where(~few & is_main).withColumn("own", at("blocks"))
+    strays = rows.where(~few & ~is_main)
+    met = strays.withColumn("other", each("blocks"))
+    among = strays.where("components > 2").withColumn("own", at("stray_blocks")).withColumn("other", each("stray_blocks"))
     return (
-        shape(main, outside, F.col("own"), F.col("own"))
+        shape(rows.where(few), zero, zero, zero)
+        .union(shape(main, outside, F.col("own"), F.col("own")))
         .union(shape(met, outside, F.col("other"), outside))
-        .union(shape(among, low, high, F.col("own")))
+        .union(shape(among, F.least("own", "other"), F.greatest("own", "other"), F.col("own")))
     )
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links (a, b, sure) between one bucket's members that lie in different components.
 
-    ``members`` (key, pos, rep, component, n_shingles, bands, least), dealt out in groups. A pair is looked at in the first bucket it shares. Of the sure links of a member with a
+    ``members`` (key, pos, rep, component) are dealt out in groups as ids; their registers (rep,
+    n_shingles, bands) and sketches (rep, least) follow. A pair is looked at in the first bucket it shares. Of the sure links of a member with a
     component one is given, which joins the two; pairs whose sketches are samples are given unsure.
     """
-    rows = _dealt(members)
+    rows = settle(_dealt(members), "dealt").join(reps, "rep").join(sketches, "rep")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(table: pa.Table) -> list[tuple[int, int, bool]]:
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = settle(placed.join(split, "key"), "members")
     wanted = settle(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sketches = settle(_sketches(wanted, docs), "sketches")
-    seconds = settle(_across(members.join(reps, "rep").join(sketches, "rep"), percent), "seconds")
+    seconds = settle(_across(members, reps, sketches, percent), "seconds")
     unsure = seconds.where("NOT sure").select("a", "b").distinct().join(firsts, ["a", "b"], "left_anti")
     more = seconds.where("sure").select("a", "b")
     unsure = settle(unsure, "unsure")
