@@ -11,6 +11,7 @@ from stringwright import constants as K
 from stringwright.functions import text as X
 from stringwright.operators.gap import weights_of
 from stringwright.operators.values import join_map, rank_values
+from stringwright.session import settle
 
 GRAMS = (2, 4)
 HASH_PRIME = 4294967311
@@ -77,8 +78,13 @@ def target_map(df: DataFrame, col: str, target: str) -> DataFrame:
 
 
 def similarity_map(values: DataFrame) -> DataFrame:
-    """``<value, code>``: n-gram similarity to each of fewer than 30 categories, sorted."""
-    categories = sorted(r["value"] for r in values.select("value").limit(K.LOW_CARDINALITY).collect())
+    """``<value, code>``: n-gram similarity to each of fewer than 30 categories, sorted.
+
+    The values are written first: a filter that Spark derives from a later explode of the codes would
+    otherwise reckon them for every row below the distinct.
+    """
+    values = settle(values.select("value"))
+    categories = sorted(r["value"] for r in values.limit(K.LOW_CARDINALITY).collect())
     if len(categories) >= K.LOW_CARDINALITY:
         raise ValueError("similarity encoding is for fewer than 30 categories")
     grams = X.char_ngrams_between(F.col("value"), *GRAMS)
