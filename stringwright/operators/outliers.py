@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stringwright import constants as K
@@ -22,6 +22,9 @@ from stringwright.session import settle
 
 HEAVY_GRAM = 200
 WIDE_SHARE = 10
+#: 64-bit words for the commonest wide grams, a bit each, and for the hashes of all others.
+WIDE_WORDS = 2
+HASH_WORDS = 2
 
 
 def is_rare(n: Column, total: Column, distinct_values: Column) -> Column:
@@ -76,25 +79,36 @@ def infrequent_candidates(
     return _with_totals(labelled).where(is_infrequent_candidate(registry, plain_strings)).select("col", "value", "n", "type")
 
 
+def _bits(values: Column, bit: Callable[[Column], Column], word: int) -> Column:
+    """One 64-bit word of the bits that the entries of an array stand for."""
+    one = F.lit(1).cast("bigint")
+    mine = F.filter(values, lambda g: F.floor(bit(g) / 64) == word)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, g: a.bitwiseOR(F.call_function("shiftleft", one, (bit(g) % 64).cast("int"))))
+
+
 def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, heavy: int) -> DataFrame:
     """Ids with the n-grams of their values (rare to common) split by how many values of the column
     hold them: ``_cold`` (up to ``heavy``) and ``_hot``, with their places among all, and ``_wide``
     (more than one value in ten). Cold and hot ones are limited to the prefix that decides similarity.
 
     Two sets with Jaccard >= t share an element among the first ``size - ceil(t * size) + 1``
-    of each in a common order, and two elements among one more. Texts stay behind.
+    of each in a common order, and two elements among one more. Texts stay behind: what two values
+    share is told by a bit for each of the commonest wide grams and by the list of all others.
     """
     coded = X.gram_codes(X.char_ngrams(F.col("value"), n, drop_last), n)
     keys = ["id", "col", "n", "_suspect", "_target", "_size"]
     grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams")).where(F.col("_size") > 0)
     single = grams.select(*keys, F.explode("_grams").alias("_gram"))
     bounds = grams.groupBy("col").agg(F.greatest(F.lit(heavy), F.count(F.lit(1)) / WIDE_SHARE).alias("_bound"))
-    frequency = (
-        single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq")).join(F.broadcast(bounds), "col")
-    )
-    if small_enough(frequency):
+    counted = single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq")).join(F.broadcast(bounds), "col")
+    counted = settle(counted.withColumn("_is_wide", F.col("_freq") > F.col("_bound")).drop("_bound"))
+    # at most WIDE_SHARE times as many wide grams as a value has grams
+    turn = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("_freq"), "_gram")) - 1
+    bits = counted.where("_is_wide").select("col", "_gram", turn.alias("_bit")).where(F.col("_bit") < 64 * WIDE_WORDS)
+    frequency = counted.join(bits, ["col", "_gram"], "left")
+    if small_enough(counted):
         frequency = F.broadcast(frequency)
-    entry = F.struct("_freq", "_gram", (F.col("_freq") > F.col("_bound")).alias("_is_wide"))
+    entry = F.struct("_freq", "_gram", "_is_wide", "_bit")
     ordered = (
         single.join(frequency, ["col", "_gram"]).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
     )
@@ -107,16 +121,20 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
         return F.transform(entries, lambda g, i: F.struct(g["_gram"].alias("g"), i.alias("at"), g["_freq"].alias("f"), g["_is_wide"].alias("w")))
 
     first, longer = placed(F.slice("_sorted", F.lit(1), length)), placed(F.slice("_sorted", F.lit(1), length + 1))
+    ordered = ordered.withColumn("_rest", names(F.filter("_sorted", lambda g: g["_bit"].isNull())))
     return ordered.select(
         *keys,
-        names(F.col("_sorted")).alias("_grams"),
         F.filter(first, lambda g: g["f"] <= heavy).alias("_cold"),
         F.filter(longer, lambda g: (g["f"] > heavy) & ~g["w"]).alias("_hot"),
         names(F.filter("_sorted", lambda g: g["_is_wide"])).alias("_wide"),
+        *[_bits(F.col("_sorted"), lambda g: g["_bit"], k).alias(f"_w{k}") for k in range(WIDE_WORDS)],
+        *[_bits(F.col("_rest"), lambda g: F.pmod(F.xxhash64(g), F.lit(64 * HASH_WORDS)), k).alias(f"_h{k}") for k in range(HASH_WORDS)],
+        "_rest",
     )
 
 
 _SIDE = ["id", "n", "_size"]
+_SET = [*[f"_w{k}" for k in range(WIDE_WORDS)], *[f"_h{k}" for k in range(HASH_WORDS)], "_rest"]
 
 
 def _blocks(sorted_values: DataFrame) -> DataFrame:
@@ -147,8 +165,8 @@ def partner_candidates(
     accept: Callable[[Column, Column], Column] | None = None,
     heavy: int = HEAVY_GRAM,
 ) -> DataFrame:
-    """``<col, old, new, n_old, n_new, similarity>``: for every value, similar commoner values
-    (equal counts: the alphabetically first), the best one always among them.
+    """``<col, old, new, n_old, n_new, similarity>``: for every value that has similar commoner values
+    (equal counts: alphabetically earlier ones) the best of them: most similar, then commonest, then first.
 
     ``suspect`` and ``target`` limit the two sides and ``accept(n_old, n_new)``, which must
     not get stricter as ``n_new`` grows, limits the pairs. Three kinds of pairs are looked at:
@@ -162,9 +180,10 @@ def partner_candidates(
 
     So a prefix or a word in a third of all values never forms a block of its own.
 
-    Values go by ids in the order of their texts. A pair whose first common gram stands too late in
-    either value for what is left to suffice is not formed; n-grams and texts are fetched once for
-    every pair that is.
+    Values go by ids, commoner ones first, then by their texts, so of equally similar partners the one
+    with the smallest id is the best. A pair whose first common gram stands too late in either value for
+    what is left to suffice is not formed. Every pair is judged where it is formed and goes into the
+    minimum of its value and similarity there: no pair is ever written. Texts are fetched for the best.
     """
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = values.select(
@@ -174,7 +193,8 @@ def partner_candidates(
         (F.lit(True) if suspect is None else suspect).alias("_suspect"),
         (F.lit(True) if target is None else target).alias("_target"),
     ).where(F.col("_suspect") | F.col("_target"))
-    in_order = sides.repartitionByRange(parts, "col", "value").sortWithinPartitions("col", "value")
+    order = ["col", F.desc("n"), "value"]
+    in_order = sides.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sides = settle(in_order.withColumn("id", F.monotonically_increasing_id()))
     asked = [r["col"] for r in sides.where("_suspect").select("col").distinct().collect()]
     if not asked:
@@ -200,21 +220,27 @@ def partner_candidates(
         .withColumn("_target", F.col("_target") & F.coalesce(allowed(F.col("_low"), F.col("n")), F.lit(False)))
         .where(F.col("_suspect") | F.col("_target"))
         .drop("_top", "_low")
-    ).repartition(parts, "col", "_a", "_b")
-    old = _renamed(useful.where("_suspect"), "_old", "col", "_a", "_b")
-    new = _renamed(useful.where("_target"), "_new", "col", "_a", "_b")
+    )
+    sets = listed.select("id", *_SET)
+    if small_enough(sets):
+        sets = F.broadcast(sets)
+    useful = useful.join(sets, "id").repartition(parts, "col", "_a", "_b")
+    old = _renamed(useful.where("_suspect").drop("_suspect", "_target"), "_old", "col", "_a", "_b")
+    new = _renamed(useful.where("_target").drop("_suspect", "_target"), "_new", "col", "_a", "_b")
     left = F.least(F.col("_size_old") - F.col("_at_old"), F.col("_size_new") - F.col("_at_new"))
     late = left * (1 + threshold) < (F.col("_size_old") + F.col("_size_new")) * threshold - 1e-9
-    found = old.join(new, ["col", "_a", "_b"]).where(_possible(threshold, allowed) & ~late)
+    possible = _possible(threshold, allowed)
+    found = old.join(new, ["col", "_a", "_b"]).where(possible & ~late)
 
     # Wide grams alone (with one more) can only reach the threshold where there are enough.
     least = F.ceil(F.col("_size") * F.lit(threshold) - 1e-9).cast("int")
     nearly = listed.where(F.size("_wide") + 1 >= least)
-    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("id"), F.col("n"))).alias("b")
-    hot = nearly.select("col", *_SIDE, "_wide", "_suspect", "_target", F.explode("_hot.g").alias("_h"))
+    best = F.min(F.struct("id", "n", *_SET)).alias("b")
+    hot = nearly.select("col", *_SIDE, *_SET, "_wide", "_suspect", "_target", F.explode("_hot.g").alias("_h"))
     by_hot = hot.where("_target").groupBy("col", "_h", "_wide", "_size").agg(best)
-    reps = by_hot.select("col", "_h", "_size", "b.id", "b.n")
-    one_hot = _renamed(hot.where("_suspect"), "_old", "col", "_h").join(_renamed(reps, "_new", "col", "_h"), ["col", "_h"])
+    reps = by_hot.select("col", "_h", "_size", "b.*")
+    mine = hot.where("_suspect").drop("_wide", "_suspect", "_target")
+    one_hot = _renamed(mine, "_old", "col", "_h").join(_renamed(reps, "_new", "col", "_h"), ["col", "_h"])
 
     # Two sets of wide grams that alone suffice share one of the rarest few.
     enough = listed.where(F.size("_wide") >= least).withColumn(
@@ -223,8 +249,12 @@ def partner_candidates(
     groups = enough.where("_target").groupBy("col", "_wide", "_size", "_first").agg(best)
     shapes = enough.where("_suspect").select("col", "_wide", "_size", "_first").distinct()
     wide_only = _wide_pairs(enough.where("_suspect"), shapes, groups, threshold)
-    pairs = [x.select("id_old", "id_new") for x in (found, one_hot.where(_possible(threshold, allowed)), wide_only.where(_possible(threshold, allowed)))]
-    return _verified(reduce(DataFrame.union, pairs).distinct(), sides, listed, threshold)
+    ways = [_best_by_similarity(x, threshold) for x in (found, one_hot.where(possible), wide_only.where(possible))]
+    top = F.min(F.struct((-F.col("similarity")).alias("cost"), "id_new")).alias("top")
+    best_ids = settle(reduce(DataFrame.union, ways).groupBy("id_old").agg(top).select("id_old", "top.id_new", (-F.col("top.cost")).alias("similarity")))
+    old = sides.select(F.col("id").alias("id_old"), "col", F.col("value").alias("old"), F.col("n").alias("n_old"))
+    new = sides.select(F.col("id").alias("id_new"), F.col("value").alias("new"), F.col("n").alias("n_new"))
+    return best_ids.join(old, "id_old").join(new, "id_new").select("col", "old", "new", "n_old", "n_new", "similarity")
 
 
 def _renamed(rows: DataFrame, end: str, *keys: str) -> DataFrame:
@@ -233,11 +263,31 @@ def _renamed(rows: DataFrame, end: str, *keys: str) -> DataFrame:
 
 
 def _possible(threshold: float, allowed: Callable[[Column, Column], Column]) -> Column:
-    """Pairs in the right order of frequency, accepted, and not too different in size."""
-    n_old, n_new = F.col("n_old"), F.col("n_new")
-    commoner = (n_new > n_old) | ((n_new == n_old) & (F.col("id_new") < F.col("id_old")))
+    """Pairs in the right order of frequency, accepted, not too different in size, and with enough common
+    bits. Of the grams without a bit of their own at least as many differ as bits of their hashes do."""
     s_old, s_new = F.col("_size_old"), F.col("_size_new")
-    return commoner & (s_new >= s_old * threshold) & (s_old >= s_new * threshold) & allowed(n_old, n_new)
+    rest = F.size("_rest_old") + F.size("_rest_new")
+    differ = [F.bit_count(F.col(f"_h{k}_old").bitwiseXOR(F.col(f"_h{k}_new"))) for k in range(HASH_WORDS)]
+    shared = _common_bits() + (rest - sum(differ[1:], differ[0])) / 2
+    near = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
+    enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
+    return (F.col("id_new") < F.col("id_old")) & near & enough & allowed(F.col("n_old"), F.col("n_new"))
+
+
+def _common_bits() -> Column:
+    """How many of the grams with bits of their own both values have."""
+    both = [F.bit_count(F.col(f"_w{k}_old").bitwiseAND(F.col(f"_w{k}_new"))) for k in range(WIDE_WORDS)]
+    return sum(both[1:], both[0])
+
+
+def _best_by_similarity(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``<id_old, similarity, id_new>``: of all truly similar partners of a value the best for each
+    similarity. Only numbers are gathered, so the minimum is taken by hashing, before any shuffle."""
+    shared = _common_bits() + F.size(F.array_intersect("_rest_old", "_rest_new"))
+    alike = pairs.select("id_old", "id_new", shared.alias("_shared"), (F.col("_size_old") + F.col("_size_new")).alias("_both"))
+    alike = alike.where(F.col("_shared") * (1 + threshold) >= F.col("_both") * threshold - 1e-9)
+    alike = alike.withColumn("similarity", F.col("_shared") / (F.col("_both") - F.col("_shared")))
+    return alike.where(F.col("similarity") >= threshold).groupBy("id_old", "similarity").agg(F.min("id_new").alias("id_new"))
 
 
 def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -253,34 +303,13 @@ def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, thres
     reps = (
         mine.join(theirs, ["col", "_g"])
         .where(shared * (1 + threshold) >= needed)
-        .select(
-            "col",
-            F.col("_w_old").alias("_wide"),
-            F.col("_s_old").alias("_size"),
-            "_size_new",
-            F.col("b.id").alias("id_new"),
-            F.col("b.n").alias("n_new"),
-        )
-        .distinct()
+        .select("col", F.col("_w_old").alias("_wide"), F.col("_s_old").alias("_size"), "_size_new", *[F.col(f"b.{c}").alias(f"{c}_new") for c in ("id", "n", *_SET)])
+        .dropDuplicates(["col", "_wide", "_size", "id_new"])
     )
-    mine = suspects.select("col", "_wide", "_size", F.col("_size").alias("_size_old"), F.col("id").alias("id_old"), F.col("n").alias("n_old"))
+    mine = suspects.select("col", "_wide", "_size", *[F.col(c).alias(f"{c}_old") for c in (*_SIDE, *_SET)])
     return mine.join(reps, ["col", "_wide", "_size"])
 
 
-def _verified(pairs: DataFrame, sides: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ids that are truly similar, with their texts, each fetched once."""
-    pairs, grams = settle(pairs), listed.select("id", "_grams")
-    for end in ("_old", "_new"):
-        pairs = pairs.join(_renamed(grams, end), f"id{end}")
-    s_old, s_new = F.size("_grams_old"), F.size("_grams_new")
-    shared = F.size(F.array_intersect("_grams_old", "_grams_new"))
-    alike = pairs.withColumn("_shared", shared).withColumn("similarity", F.col("_shared") / (s_old + s_new - F.col("_shared")))
-    alike = alike.where(F.col("similarity") >= threshold).select("id_old", "id_new", "similarity")
-    old = sides.select(F.col("id").alias("id_old"), "col", F.col("value").alias("old"), F.col("n").alias("n_old"))
-    new = sides.select(F.col("id").alias("id_new"), F.col("value").alias("new"), F.col("n").alias("n_new"))
-    return alike.join(old, "id_old").join(new, "id_new").select("col", "old", "new", "n_old", "n_new", "similarity")
-
-
 def best_partner(pairs: DataFrame) -> DataFrame:
     """One partner per value: most similar, then commoner, then alphabetically first."""
     best = F.min(
