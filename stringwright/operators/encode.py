@@ -123,9 +123,12 @@ def minhash_map(values: DataFrame, size: int = K.MINHASH_SIZE) -> DataFrame:
     """``<value, code>``: for each hash the smallest hashed n-gram, scaled to [0, 1).
 
     One md5 per n-gram feeds all hashes. N-grams are exploded and reduced by plain minimum
-    aggregates, which run in generated code and combine before the shuffle.
+    aggregates, which run in generated code. The values are dealt out before: adaptive execution
+    would judge by their few bytes and leave all their n-grams to one task.
     """
     low, high = GRAMS
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = values.repartition(parts)
     grams = values.select("value", F.explode_outer(X.char_ngrams_between(F.col("value"), low, high)).alias("gram"))
     hashed = grams.select("value", X.hash32(F.col("gram")).alias("h"))
     mins = hashed.groupBy("value").agg(

@@ -210,17 +210,7 @@ def partner_candidates(
     # Few rows in, many pairs out: a fixed number of partitions keeps the join parallel
     # where adaptive execution would judge by the small input and merge them.
     keyed = _blocks(listed).repartition(parts, "col", "_a", "_b")
-    limits = keyed.groupBy("col", "_a", "_b").agg(
-        F.max(F.when(F.col("_target"), F.col("n"))).alias("_top"),
-        F.min(F.when(F.col("_suspect"), F.col("n"))).alias("_low"),
-    )
-    useful = settle(
-        keyed.join(limits, ["col", "_a", "_b"])
-        .withColumn("_suspect", F.col("_suspect") & F.coalesce(allowed(F.col("n"), F.col("_top")), F.lit(False)))
-        .withColumn("_target", F.col("_target") & F.coalesce(allowed(F.col("_low"), F.col("n")), F.lit(False)))
-        .where(F.col("_suspect") | F.col("_target"))
-        .drop("_top", "_low")
-    )
+    useful = settle(_useful(keyed, ["col", "_a", "_b"], allowed))
     sets = listed.select("id", *_SET)
     if small_enough(sets):
         sets = F.broadcast(sets)
@@ -237,6 +227,7 @@ def partner_candidates(
     nearly = listed.where(F.size("_wide") + 1 >= least)
     best = F.min(F.struct("id", "n", *_SET)).alias("b")
     hot = nearly.select("col", *_SIDE, *_SET, "_wide", "_suspect", "_target", F.explode("_hot.g").alias("_h"))
+    hot = _useful(hot, ["col", "_h"], allowed)
     by_hot = hot.where("_target").groupBy("col", "_h", "_wide", "_size").agg(best)
     reps = by_hot.select("col", "_h", "_size", "b.*")
     mine = hot.where("_suspect").drop("_wide", "_suspect", "_target")
@@ -257,6 +248,21 @@ def partner_candidates(
     return best_ids.join(old, "id_old").join(new, "id_new").select("col", "old", "new", "n_old", "n_new", "similarity")
 
 
+def _useful(rows: DataFrame, keys: list[str], allowed: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows as suspects and targets only where some row of the same keys can be accepted with them."""
+    limits = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("_target"), F.col("n"))).alias("_top"),
+        F.min(F.when(F.col("_suspect"), F.col("n"))).alias("_low"),
+    )
+    return (
+        rows.join(limits, keys)
+        .withColumn("_suspect", F.col("_suspect") & F.coalesce(allowed(F.col("n"), F.col("_top")), F.lit(False)))
+        .withColumn("_target", F.col("_target") & F.coalesce(allowed(F.col("_low"), F.col("n")), F.lit(False)))
+        .where(F.col("_suspect") | F.col("_target"))
+        .drop("_top", "_low")
+    )
+
+
 def _renamed(rows: DataFrame, end: str, *keys: str) -> DataFrame:
     """One side of a join: all columns but the keys get an ending."""
     return rows.select(*keys, *[F.col(c).alias(c + end) for c in rows.columns if c not in keys])
@@ -271,7 +277,7 @@ def _possible(threshold: float, allowed: Callable[[Column, Column], Column]) ->
     shared = _common_bits() + (rest - sum(differ[1:], differ[0])) / 2
     near = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
     enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
-    return (F.col("id_new") < F.col("id_old")) & near & enough & allowed(F.col("n_old"), F.col("n_new"))
+    return (F.col("id_new") < F.col("id_old")) & near & allowed(F.col("n_old"), F.col("n_new")) & enough
 
 
 def _common_bits() -> Column:

@@ -88,8 +88,10 @@ class StringCleaner:
         model = StringCleanerModel(self)
         table = M.nan_to_null(V.normalise_spaces(df))
         model.empty = [c for c in V.empty_columns(table) if c != self.target]
-        # written once: every later step reads the normalised table, not the source
-        table = settle(table.drop(*model.empty))
+        # written once: every later step reads the normalised table, not the source, which may be one
+        # small file or few tasks that adaptive execution has merged
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = settle(table.drop(*model.empty).repartition(parts))
         self._fit_target(model, table)
         body = [c for c in table.columns if c != self.target]
         inputs = table.select(*body)
