@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from stringwright.llm.store import settle, small
 
-# Fixed value: words, before A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed value: words, before A-Z are lowered: [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+, spelt out character by
+# character. Java looks single characters up in one table, but compares each letter with every range.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 LENGTH = 10
 #: Rarest words of a window whose postings are intersected.
 ANCHORS = 2
