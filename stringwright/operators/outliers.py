@@ -99,7 +99,7 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
     keys = ["id", "col", "n", "_suspect", "_target", "_size"]
     grams = values.withColumn("_grams", coded).withColumn("_size", F.size("_grams")).where(F.col("_size") > 0)
     single = grams.select(*keys, F.explode("_grams").alias("_gram"))
-    bounds = grams.groupBy("col").agg(F.greatest(F.lit(heavy), F.count(F.lit(1)) / WIDE_SHARE).alias("_bound"))
+    bounds = values.where(F.length("value") >= n + drop_last).groupBy("col").agg(F.greatest(F.lit(heavy), F.count(F.lit(1)) / WIDE_SHARE).alias("_bound"))
     counted = single.groupBy("col", "_gram").agg(F.count(F.lit(1)).alias("_freq")).join(F.broadcast(bounds), "col")
     counted = settle(counted.withColumn("_is_wide", F.col("_freq") > F.col("_bound")).drop("_bound"))
     # at most WIDE_SHARE times as many wide grams as a value has grams
@@ -129,29 +129,31 @@ def _sorted_grams(values: DataFrame, threshold: float, n: int, drop_last: int, h
         names(F.filter("_sorted", lambda g: g["_is_wide"])).alias("_wide"),
         *[_bits(F.col("_sorted"), lambda g: g["_bit"], k).alias(f"_w{k}") for k in range(WIDE_WORDS)],
         *[_bits(F.col("_rest"), lambda g: F.pmod(F.xxhash64(g), F.lit(64 * HASH_WORDS)), k).alias(f"_h{k}") for k in range(HASH_WORDS)],
+        F.size("_rest").cast("double").alias("_others"),
         "_rest",
     )
 
 
 _SIDE = ["id", "n", "_size"]
-_SET = [*[f"_w{k}" for k in range(WIDE_WORDS)], *[f"_h{k}" for k in range(HASH_WORDS)], "_rest"]
+_SET = [*[f"_w{k}" for k in range(WIDE_WORDS)], *[f"_h{k}" for k in range(HASH_WORDS)], "_others", "_rest"]
 
 
-def _blocks(sorted_values: DataFrame) -> DataFrame:
-    """One row per value and blocking key, a cold gram or two hot ones, with the place of the key's
-    first gram. Only ids, counts and sizes travel."""
+def _blocks(sorted_values: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per value and blocking key, a cold gram or two hot ones, with how many grams stand before
+    the last of the key and are not in it. Of the columns only ids, counts and sizes need to travel."""
     cold = F.transform("_cold", lambda g: F.struct(g["g"].alias("a"), g["g"].alias("b"), g["at"].alias("at")))
     pairs = F.flatten(
         F.transform(
             "_hot",
             lambda a, i: F.transform(
                 F.slice("_hot", i + 2, F.size("_hot")),
-                lambda b: F.struct(F.least(a["g"], b["g"]).alias("a"), F.greatest(a["g"], b["g"]).alias("b"), a["at"].alias("at")),
+                lambda b: F.struct(F.least(a["g"], b["g"]).alias("a"), F.greatest(a["g"], b["g"]).alias("b"), (b["at"] - 1).alias("at")),
             ),
         )
     )
-    return sorted_values.select("col", *_SIDE, "_suspect", "_target", F.explode(F.concat(cold, pairs)).alias("_key")).select(
-        "col", *_SIDE, "_suspect", "_target", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), F.col("_key.at").alias("_at")
+    mine = ["col", *kept, "_suspect", "_target"]
+    return sorted_values.select(*mine, F.explode(F.concat(cold, pairs)).alias("_key")).select(
+        *mine, F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), F.col("_key.at").alias("_at")
     )
 
 
@@ -181,9 +183,10 @@ def partner_candidates(
     So a prefix or a word in a third of all values never forms a block of its own.
 
     Values go by ids, commoner ones first, then by their texts, so of equally similar partners the one
-    with the smallest id is the best. A pair whose first common gram stands too late in either value for
-    what is left to suffice is not formed. Every pair is judged where it is formed and goes into the
-    minimum of its value and similarity there: no pair is ever written. Texts are fetched for the best.
+    with the smallest id is the best. Pairs whose first common grams stand too late in either value for
+    what is left to suffice are dropped; the smaller value brings only keys that are early enough for one
+    of its own size, so most of them are not formed. Every pair is judged where it is formed and goes into
+    the minimum of its value and similarity there: no pair is ever written. Texts are fetched for the best.
     """
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = values.select(
@@ -202,6 +205,7 @@ def partner_candidates(
             [], "col string, old string, new string, n_old bigint, n_new bigint, similarity double"
         )
     sides = sides.where(F.col("col").isin(asked))
+    limited = not (suspect is None and target is None and accept is None)
     listed = settle(_sorted_grams(sides, threshold, n, drop_last, heavy))
 
     def allowed(n_old: Column, n_new: Column) -> Column:
@@ -209,25 +213,37 @@ def partner_candidates(
 
     # Few rows in, many pairs out: a fixed number of partitions keeps the join parallel
     # where adaptive execution would judge by the small input and merge them.
-    keyed = _blocks(listed).repartition(parts, "col", "_a", "_b")
-    useful = settle(_useful(keyed, ["col", "_a", "_b"], allowed))
-    sets = listed.select("id", *_SET)
-    if small_enough(sets):
-        sets = F.broadcast(sets)
-    useful = useful.join(sets, "id").repartition(parts, "col", "_a", "_b")
-    old = _renamed(useful.where("_suspect").drop("_suspect", "_target"), "_old", "col", "_a", "_b")
-    new = _renamed(useful.where("_target").drop("_suspect", "_target"), "_new", "col", "_a", "_b")
-    left = F.least(F.col("_size_old") - F.col("_at_old"), F.col("_size_new") - F.col("_at_new"))
-    late = left * (1 + threshold) < (F.col("_size_old") + F.col("_size_new")) * threshold - 1e-9
-    possible = _possible(threshold, allowed)
-    found = old.join(new, ["col", "_a", "_b"]).where(possible & ~late)
+    if limited:
+        keyed = _blocks(listed, _SIDE).repartition(parts, "col", "_a", "_b")
+        useful = settle(_useful(keyed, ["col", "_a", "_b"], allowed))
+        sets = listed.select("id", *_SET)
+        useful = useful.join(F.broadcast(sets) if small_enough(sets) else sets, "id")
+    else:
+        useful = _blocks(listed, [*_SIDE, *_SET])
+    # The smaller set of a pair has the key early, so late ones meet in no block. Whether the smaller one
+    # or the larger one is the suspect, is told by the ids.
+    size, left = F.col("_size").cast("double"), (F.col("_size") - F.col("_at")).cast("double")
+    early = F.col("_left") * (1 + threshold) >= F.col("_size") * (2 * threshold) - 1e-9
+    useful = useful.withColumns({"_size": size, "_left": left}).drop("_at")
+
+    def meet(small: Column, large: Column) -> DataFrame:
+        sides = [
+            _renamed(useful.where(c).repartition(parts, "col", "_a", "_b"), end, "col", "_a", "_b")
+            for c, end in ((early & small, "_1"), (large, "_2"))
+        ]
+        pairs = sides[0].join(sides[1], ["col", "_a", "_b"]).where(_meeting(threshold, accept))
+        return _best_by_similarity(pairs.withColumns({"id_old": F.greatest("id_1", "id_2"), "id_new": F.least("id_1", "id_2")}), threshold, "_1", "_2")
+
+    ways = [meet(F.col("_suspect"), F.lit(True))]
+    if limited:
+        ways.append(meet(~F.col("_suspect"), F.col("_suspect")))
 
     # Wide grams alone (with one more) can only reach the threshold where there are enough.
     least = F.ceil(F.col("_size") * F.lit(threshold) - 1e-9).cast("int")
     nearly = listed.where(F.size("_wide") + 1 >= least)
     best = F.min(F.struct("id", "n", *_SET)).alias("b")
     hot = nearly.select("col", *_SIDE, *_SET, "_wide", "_suspect", "_target", F.explode("_hot.g").alias("_h"))
-    hot = _useful(hot, ["col", "_h"], allowed)
+    hot = _useful(hot, ["col", "_h"], allowed) if limited else hot
     by_hot = hot.where("_target").groupBy("col", "_h", "_wide", "_size").agg(best)
     reps = by_hot.select("col", "_h", "_size", "b.*")
     mine = hot.where("_suspect").drop("_wide", "_suspect", "_target")
@@ -240,7 +256,7 @@ def partner_candidates(
     groups = enough.where("_target").groupBy("col", "_wide", "_size", "_first").agg(best)
     shapes = enough.where("_suspect").select("col", "_wide", "_size", "_first").distinct()
     wide_only = _wide_pairs(enough.where("_suspect"), shapes, groups, threshold)
-    ways = [_best_by_similarity(x, threshold) for x in (found, one_hot.where(possible), wide_only.where(possible))]
+    ways += [_best_by_similarity(x.where(_possible(threshold, allowed)), threshold) for x in (one_hot, wide_only)]
     top = F.min(F.struct((-F.col("similarity")).alias("cost"), "id_new")).alias("top")
     best_ids = settle(reduce(DataFrame.union, ways).groupBy("id_old").agg(top).select("id_old", "top.id_new", (-F.col("top.cost")).alias("similarity")))
     old = sides.select(F.col("id").alias("id_old"), "col", F.col("value").alias("old"), F.col("n").alias("n_old"))
@@ -269,31 +285,54 @@ def _renamed(rows: DataFrame, end: str, *keys: str) -> DataFrame:
 
 
 def _possible(threshold: float, allowed: Callable[[Column, Column], Column]) -> Column:
-    """Pairs in the right order of frequency, accepted, not too different in size, and with enough common
-    bits. Of the grams without a bit of their own at least as many differ as bits of their hashes do."""
-    s_old, s_new = F.col("_size_old"), F.col("_size_new")
-    rest = F.size("_rest_old") + F.size("_rest_new")
-    differ = [F.bit_count(F.col(f"_h{k}_old").bitwiseXOR(F.col(f"_h{k}_new"))) for k in range(HASH_WORDS)]
-    shared = _common_bits() + (rest - sum(differ[1:], differ[0])) / 2
-    near = (s_new >= s_old * threshold) & (s_old >= s_new * threshold)
-    enough = shared * (1 + threshold) >= (s_old + s_new) * threshold - 1e-9
-    return (F.col("id_new") < F.col("id_old")) & near & allowed(F.col("n_old"), F.col("n_new")) & enough
-
-
-def _common_bits() -> Column:
+    """Pairs in the right order of frequency, accepted and near."""
+    return (F.col("id_new") < F.col("id_old")) & allowed(F.col("n_old"), F.col("n_new")) & _near(threshold, "_old", "_new")
+
+
+def _meeting(threshold: float, accept: Callable[[Column, Column], Column] | None) -> Column:
+    """Pairs of a smaller and a larger set (equal ones: the suspect first) of which the commoner value is a
+    target of the other, with enough grams left from the key on, and near."""
+    size, other = F.col("_size_1"), F.col("_size_2")
+    later = F.col("id_1") > F.col("id_2")
+    roles = F.when(later, F.col("_suspect_1") & F.col("_target_2")).otherwise(F.col("_suspect_2") & F.col("_target_1"))
+    if accept is not None:
+        roles = roles & accept(F.least("n_1", "n_2"), F.greatest("n_1", "n_2"))
+    enough = F.least("_left_1", "_left_2") * (1 + threshold) >= (size + other) * threshold - 1e-9
+    return ((size < other) | ((size == other) & later)) & enough & roles & _near(threshold, "_1", "_2")
+
+
+def _near(threshold: float, a: str, b: str) -> Column:
+    """Not too different in size, and with enough common bits. Of the grams without a bit of their own at
+    least as many differ as bits of their hashes do."""
+    size, other = F.col(f"_size{a}"), F.col(f"_size{b}")
+    differ = _bits_set(*[F.col(f"_h{k}{a}").bitwiseXOR(F.col(f"_h{k}{b}")) for k in range(HASH_WORDS)])
+    shared = _common_bits(a, b) + (F.col(f"_others{a}") + F.col(f"_others{b}") - differ) / F.lit(2.0)
+    near = (other >= size * threshold) & (size >= other * threshold)
+    return near & (shared * (1 + threshold) >= (size + other) * threshold - 1e-9)
+
+
+def _common_bits(a: str, b: str) -> Column:
     """How many of the grams with bits of their own both values have."""
-    both = [F.bit_count(F.col(f"_w{k}_old").bitwiseAND(F.col(f"_w{k}_new"))) for k in range(WIDE_WORDS)]
-    return sum(both[1:], both[0])
+    return _bits_set(*[F.col(f"_w{k}{a}").bitwiseAND(F.col(f"_w{k}{b}")) for k in range(WIDE_WORDS)])
+
 
+def _bits_set(*words: Column) -> Column:
+    """How many bits are set. Doubles, as Spark adds whole numbers by way of a call that looks for overflow."""
+    return sum([F.bit_count(w).cast("double") for w in words[1:]], F.bit_count(words[0]).cast("double"))
 
-def _best_by_similarity(pairs: DataFrame, threshold: float) -> DataFrame:
+
+def _best_by_similarity(pairs: DataFrame, threshold: float, a: str = "_old", b: str = "_new") -> DataFrame:
     """``<id_old, similarity, id_new>``: of all truly similar partners of a value the best for each
-    similarity. Only numbers are gathered, so the minimum is taken by hashing, before any shuffle."""
-    shared = _common_bits() + F.size(F.array_intersect("_rest_old", "_rest_new"))
-    alike = pairs.select("id_old", "id_new", shared.alias("_shared"), (F.col("_size_old") + F.col("_size_new")).alias("_both"))
-    alike = alike.where(F.col("_shared") * (1 + threshold) >= F.col("_both") * threshold - 1e-9)
+    similarity. Only numbers are gathered, so the minimum is taken by hashing, before any shuffle.
+
+    Spark would move the comparison of the lists into the join, before the cheaper conditions there. It
+    leaves conditions above a random number, so each pair that those let pass is compared, and only once."""
+    shared = _common_bits(a, b) + F.size(F.array_intersect(f"_rest{a}", f"_rest{b}")).cast("double")
+    both = F.col(f"_size{a}") + F.col(f"_size{b}")
+    alike = pairs.select("id_old", "id_new", shared.alias("_shared"), both.alias("_both"), F.rand(0).alias("_here"))
     alike = alike.withColumn("similarity", F.col("_shared") / (F.col("_both") - F.col("_shared")))
-    return alike.where(F.col("similarity") >= threshold).groupBy("id_old", "similarity").agg(F.min("id_new").alias("id_new"))
+    alike = alike.where((F.col("similarity") >= threshold) & (F.col("_here") >= 0))
+    return alike.groupBy("id_old", "similarity").agg(F.min("id_new").alias("id_new"))
 
 
 def _wide_pairs(suspects: DataFrame, shapes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
